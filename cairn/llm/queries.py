@@ -1,0 +1,24 @@
+"""The registered queries of this subpackage and the DuckDB SQL of those that SQL can express."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cairn.llm.common import table
+from cairn.llm.exact_dedup import exact_dedup
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_exact_dedup": op10_exact_dedup}
+
+ORACLE_SQL = {
+    "op10_exact_dedup": r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
+FROM n JOIN g ON n.t = g.t
+""",
+}
