@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cairn.llm import sentencepiece_codec
 from cairn.llm.common import table
 from cairn.llm.exact_dedup import exact_dedup
 
@@ -12,7 +15,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_exact_dedup": op10_exact_dedup}
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model)
+    return sentencepiece_codec.decode(ids, model).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {"op9_sentencepiece": op9_sentencepiece, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLE_SQL = {
     "op10_exact_dedup": r"""
