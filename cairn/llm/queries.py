@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import sentencepiece_codec
+from cairn.llm import pii, secrets, sentencepiece_codec, spans
 from cairn.llm.common import table
 from cairn.llm.exact_dedup import exact_dedup
 
@@ -15,6 +15,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def _span_columns(found: DataFrame, kinds: list[str]) -> DataFrame:
+    base = spans.span_text(spans.base_spans(F.col("spans")))
+    return found.select(
+        "doc_id",
+        *(spans.count_kind(F.col("spans"), k).alias(f"n_{k}") for k in kinds),
+        F.sha2(base, 256).alias("base_sha256"),
+        spans.span_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_columns(pii.find_pii(table(spark, sf_dir, "documents")), pii.KINDS[:4])
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_columns(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.KINDS)
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     ids = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model)
@@ -26,7 +44,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_sentencepiece": op9_sentencepiece, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {
+    "op3_pii": op3_pii,
+    "op7_secrets": op7_secrets,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_exact_dedup": op10_exact_dedup,
+}
 
 ORACLE_SQL = {
     "op10_exact_dedup": r"""
