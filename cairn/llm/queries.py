@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import pii, secrets, sentencepiece_codec, spans
+from cairn.llm import pii, secrets, sentencepiece_codec, spans, toxicity
 from cairn.llm.common import table
 from cairn.llm.exact_dedup import exact_dedup
 
@@ -29,6 +29,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_columns(pii.find_pii(table(spark, sf_dir, "documents")), pii.KINDS[:4])
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_columns(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.KINDS)
 
@@ -46,6 +52,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_pii": op3_pii,
+    "op5_toxicity": op5_toxicity,
     "op7_secrets": op7_secrets,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
