@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import pii, secrets, sentencepiece_codec, spans, toxicity
+from cairn.llm import pii, secrets, sentencepiece_codec, spans, topk_search, toxicity
 from cairn.llm.common import table
 from cairn.llm.exact_dedup import exact_dedup
 
@@ -39,6 +39,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_columns(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.KINDS)
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     ids = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model)
@@ -54,11 +58,20 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op5_toxicity": op5_toxicity,
     "op7_secrets": op7_secrets,
+    "op8_topk_search": op8_topk_search,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op8_topk_search": """
+WITH s AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM s q JOIN s c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+""",
     "op10_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
