@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import pii, secrets, sentencepiece_codec, spans, topk_search, toxicity
+from cairn.llm import mixing, pii, secrets, sentencepiece_codec, spans, topk_search, toxicity
 from cairn.llm.common import table
 from cairn.llm.exact_dedup import exact_dedup
 
@@ -15,6 +15,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 def _span_columns(found: DataFrame, kinds: list[str]) -> DataFrame:
     base = spans.span_text(spans.base_spans(F.col("spans")))
     return found.select(
@@ -55,6 +59,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op3_pii": op3_pii,
     "op5_toxicity": op5_toxicity,
     "op7_secrets": op7_secrets,
@@ -63,7 +68,46 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+def _scattered(x: str, key: str) -> str:
+    """DuckDB's form of ``mixing.scattered``."""
+    p = mixing._P
+    a = f"(({x}) % {p} + 1) * {mixing._A} % {p}"
+    b = f"xor({a}, (({x}) // {p} + ({key}) * 7919 + 1) % {p} * {mixing._C} % {p})"
+    return f"(SELECT xor(c, c >> 11) FROM (SELECT xor(b, b >> 13) % {p} * {mixing._B} % {p} AS c FROM (SELECT CAST({b} AS BIGINT) AS b)))"
+
+
+def _mixing_sql() -> str:
+    """The same mix by one global order of blocks and rows."""
+    rounds, last = [], "p0"
+    for i, odd in enumerate(mixing._ODD):
+        rounds.append(f"""a{i} AS (SELECT * REPLACE (CASE WHEN block < power THEN block * {odd} % power ELSE block END AS block) FROM {last}),
+b{i} AS (SELECT * REPLACE (CASE WHEN block < power THEN xor(block, block >> (bits // 2 + 1)) ELSE block END AS block) FROM a{i}),
+p{i + 1} AS (SELECT * REPLACE ((block + {_scattered("key", str(i))}) % blocks AS block) FROM b{i})""")
+        last = f"p{i + 1}"
+    size = mixing.BLOCK_WORDS
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM t),
+w AS (SELECT *, CAST([5, 2, 1][rank % 3 + 1] AS DOUBLE) AS w, CAST(source_size AS DOUBLE) * 2 AS most FROM r),
+l AS (SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () * 1.5 - coalesce(sum(most) OVER (ORDER BY most / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (ORDER BY most / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+g AS (SELECT source, rank, source_size, least(most, max(level) OVER () * w) AS target, CAST(ceil(source_size / {size}) AS BIGINT) AS blocks FROM l),
+s AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN least(floor(target * blocks / source_size + 0.5), blocks * 2) ELSE 0 END AS BIGINT) AS slots FROM g),
+p0 AS (SELECT rank, blocks, CAST(j % blocks AS BIGINT) AS block, rank * 2 + j // blocks AS key, length(bin(blocks)) - 1 AS bits, CAST(1 AS BIGINT) << (length(bin(blocks)) - 1) AS power
+  FROM (SELECT *, unnest(range(slots)) AS j FROM s)),
+{", ".join(rounds)},
+k AS (SELECT rank, block, count(*) AS times FROM {last} GROUP BY ALL),
+o AS (SELECT d.*, s.rank, s.source_size, s.target, CAST(coalesce(sum(size) OVER (PARTITION BY s.rank ORDER BY doc_id % {mixing.CHUNKS}, doc_id, size, row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+b AS (SELECT *, unnest(range(start // {size}, (start + size - 1) // {size} + 1)) AS block FROM o WHERE size > 0),
+x AS (SELECT b.row, CAST(sum((least(start + size, (b.block + 1) * {size}) - greatest(start, b.block * {size})) * k.times) AS BIGINT) AS taken FROM b JOIN k ON b.rank = k.rank AND b.block = k.block GROUP BY b.row)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM o LEFT JOIN x ON o.row = x.row
+"""
+
+
 ORACLE_SQL = {
+    "op1_mixing": _mixing_sql(),
     "op8_topk_search": """
 WITH s AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
