@@ -42,17 +42,34 @@ def scattered(x: Column, key: Column) -> Column:
     return c.bitwiseXOR(F.shiftright(c, 11))
 
 
-def _permuted(slots: DataFrame) -> DataFrame:
-    """``block`` of the columns j, blocks (their number), rank: a permutation of each pass. Rounds of
-    invertible steps: multiply and fold below the largest power of two, then turn the whole ring."""
-    df = slots.withColumns({"turn": F.floor(F.col("j") / F.col("blocks")), "block": F.col("j") % F.col("blocks")})
-    df = df.withColumns({"bits": F.length(F.bin("blocks")) - 1, "key": F.col("rank") * 2 + F.col("turn")})
-    for i, odd in enumerate(_ODD):
-        power = F.expr("shiftleft(1L, bits)")
-        df = df.withColumn("block", F.when(F.col("block") < power, F.col("block") * odd % power).otherwise(F.col("block")))
-        df = df.withColumn("block", F.when(F.col("block") < power, F.col("block").bitwiseXOR(F.expr("shiftright(block, int(bits / 2) + 1)"))).otherwise(F.col("block")))
-        df = df.withColumn("block", (F.col("block") + scattered(F.col("key"), F.lit(i))) % F.col("blocks"))
-    return df.drop("bits", "key")
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it occurs."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _permutation(sources: DataFrame) -> DataFrame:
+    """``sources`` with what a permutation needs: the largest power of two up to blocks, a shift, and
+    the turns of the ring for each pass and round."""
+    turns = [scattered(F.col("rank") * 2 + turn, F.lit(i)) % F.col("blocks") for turn in range(CAP) for i in range(len(_ODD))]
+    bits = F.length(F.bin("blocks")) - 1
+    return sources.withColumns({"power": F.call_function("shiftleft", F.lit(1).cast("long"), bits), "shift": F.floor(bits / 2).cast("int") + 1, "turns": F.array(*turns)})
+
+
+def _permuted() -> Column:
+    """The block of slot j: a permutation in each pass. Rounds of invertible steps: multiply and fold
+    below the power of two, then turn the whole ring."""
+    turn = F.floor(F.col("j") / F.col("blocks")).cast("int")
+
+    def round_(x: Column, i: int) -> Column:
+        if i == len(_ODD):
+            return x
+        below = lambda v, then: F.when(v < F.col("power"), then).otherwise(v)
+        mixed = below(x, x * _ODD[i] % F.col("power"))
+        fold = lambda y: below(y, y.bitwiseXOR(F.call_function("shiftright", y, F.col("shift"))))
+        turned = lambda z: (z + F.element_at("turns", turn * len(_ODD) + i + 1)) % F.col("blocks")
+        return _let(mixed, lambda y: _let(turned(fold(y)), lambda z: round_(z, i + 1)))
+
+    return _let(F.col("j") % F.col("blocks"), lambda x: round_(x, 0))
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -97,7 +114,7 @@ def placed(sizes: DataFrame) -> DataFrame:
 
 
 def mixture(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """The mix as rows (shard, rank, j, turn, block, blocks): slot j of a source reads that block."""
+    """The mix as rows (shard, rank, j, block): slot j of a source reads that block."""
     shards = F.greatest(F.ceil(F.sum("slots").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / shard_slots), F.lit(1)).cast("long")
     sources = targets.where("slots > 0").select("rank", "blocks", "slots", shards.alias("shards"))
     spread = sources.withColumn("part", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SPREAD}L)"))).repartition(F.col("rank"), F.col("part"))
@@ -105,8 +122,8 @@ def mixture(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     # The draw: how many slots of each source fall into each shard.
     drawn = slots.groupBy("rank", (scattered(F.col("j"), F.col("rank")) % F.col("shards")).alias("shard"), "blocks").agg(F.count("*").alias("n"))
     to_here = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = drawn.withColumn("first", F.sum("n").over(to_here) - F.col("n")).repartition(F.col("rank"), F.col("shard"))
-    return _permuted(first.withColumn("j", F.explode(F.expr("sequence(first, first + n - 1)"))).select("shard", "rank", "blocks", "j"))
+    first = _permutation(drawn.withColumn("first", F.sum("n").over(to_here) - F.col("n"))).repartition(F.col("rank"), F.col("shard"))
+    return first.withColumn("j", F.explode(F.expr("sequence(first, first + n - 1)"))).select("shard", "rank", "j", _permuted().alias("block"))
 
 
 def _pieces(rows: DataFrame, targets: DataFrame, block_words: int) -> DataFrame:
