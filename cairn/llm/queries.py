@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import mixing, pii, secrets, sentencepiece_codec, spans, topk_search, toxicity
+from cairn.llm import line_dedup, mixing, ngram_join, pii, secrets, sentencepiece_codec, spans, topk_search, toxicity, unit_dedup
 from cairn.llm.common import table
 from cairn.llm.exact_dedup import exact_dedup
 
@@ -19,6 +19,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = unit_dedup.dedup_units(table(spark, sf_dir, "documents"))
+    places = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"))), ",")
+    return done.select("doc_id", F.size("removed").alias("n_removed"), places.alias("removed"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_removed", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def _span_columns(found: DataFrame, kinds: list[str]) -> DataFrame:
     base = spans.span_text(spans.base_spans(F.col("spans")))
     return found.select(
@@ -39,6 +49,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents")).drop("th")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_columns(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.KINDS)
 
@@ -60,8 +74,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_unit_dedup": op2_unit_dedup,
     "op3_pii": op3_pii,
+    "op4_line_dedup": op4_line_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_ngram_join": op6_ngram_join,
     "op7_secrets": op7_secrets,
     "op8_topk_search": op8_topk_search,
     "op9_sentencepiece": op9_sentencepiece,
