@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import partitions, salt_of, saved, small_batches
@@ -321,3 +321,18 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     out = salted.join(labelled, ["cls", "salt"], "left")
     real = lambda c: F.when(c != _NO_ID, c)
     return out.select(real(F.col("id")).alias("doc_id"), "th", F.col("n").alias("n_shingles"), real(F.coalesce("component", "id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, unchanged, that stay when each component keeps the row with the smallest
+    doc_id (null last; then by a hash of the text; of equal rows one). Rows without shingles stay."""
+    found = link_components(docs, words, percent)
+    full = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.col("th").alias("_th"))
+    # A component whose rows have no id is told apart from others by its rows' text hash.
+    part = F.coalesce("component_id", F.col("th"))
+    best = found.where("n_shingles > 0").groupBy(part.alias("part"), F.col("component_id").isNull()).agg(F.min(full).alias("k")).select("k.*", F.lit(True).alias("_one"))
+    empty = found.where("n_shingles = 0").select(full.alias("k")).distinct().select("k.*", F.lit(False).alias("_one"))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    kept = keyed.join(best.union(empty), ["_id", "_th"])
+    turn = F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.lit(0)))
+    return kept.withColumn("_turn", turn).where((F.col("_turn") == 1) | ~F.col("_one")).select(*docs.columns)
