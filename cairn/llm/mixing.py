@@ -168,7 +168,8 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     met = keyed.join(same, keys).withColumn("_turn", turn).where(F.col("_turn") <= F.size("_rows"))
     met = met.withColumns({"_parts": F.element_at("_rows", F.col("_turn"))["parts"], "_words": words(F.col("text"))})
     piece = lambda p: F.array_join(F.slice("_words", (p["lo"] + 1).cast("int"), p["len"].cast("int")), " ")
-    passes = [F.transform(F.filter("_parts", lambda p, t=t: p["times"] >= t), piece) for t in range(1, CAP + 1)]
+    in_pass = lambda t: lambda p: p["times"] >= t
+    passes = [F.transform(F.filter("_parts", in_pass(t)), piece) for t in range(1, CAP + 1)]
     met = met.withColumn("text", F.array_join(F.concat(*passes), " "))
     if "n_chars" in docs.columns:
         met = met.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
