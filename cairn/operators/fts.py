@@ -147,7 +147,8 @@ def search(corpus: DataFrame, rows: DataFrame, text: str, query: Node, analyzer:
     avgdl = total / n if n else 0.0
     scored = rows.where(F.col(text).isNotNull()).withColumn("_t", own)
     dl = F.size("_t").cast("double")
-    tf = {t: F.size(F.filter("_t", lambda x, t=t: x == t)).cast("double") for t in terms}
+    equal = lambda t: lambda x: x == t
+    tf = {t: F.size(F.filter("_t", equal(t))).cast("double") for t in terms}
     weight = {t: math.log((n - d + 0.5) / (d + 0.5) + 1.0) for t, d in zip(terms, dfs, strict=True)}
     scored = scored.withColumns({f"_tf{i}": tf[t] for i, t in enumerate(terms)})
     columns = {t: F.col(f"_tf{i}") for i, t in enumerate(terms)}

@@ -1,6 +1,6 @@
 """Versioned document tables: Parquet directories and one manifest, swapped atomically.
 
-A revision is a list of Parquet directories with the keys deleted from each since it was written. A
+A revision is a list of parts, each with rows and the keys that it deletes from the parts before. A
 commit writes the new directory first and then renames the manifest: readers see the old revision or
 the new one. Paths go through Hadoop's FileSystem, so any store that Spark writes works; ``rename`` of
 the manifest must be atomic there.
@@ -12,9 +12,11 @@ import json
 import uuid
 import zlib
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairn.errors import CairnError
 from cairn.schema import PK, CollectionSchema
@@ -26,7 +28,8 @@ class Manifest:
 
     revision: int
     schema: CollectionSchema
-    parts: tuple[tuple[str, str | None], ...] = ()  # (directory, directory of keys deleted from it)
+    #: (rows, keys deleted from the parts before), either of them None.
+    parts: tuple[tuple[str | None, str | None], ...] = ()
     count: int = 0
 
     def to_json(self) -> str:
@@ -107,18 +110,18 @@ class Store:
         return name
 
     def table(self, manifest: Manifest) -> DataFrame:
-        """The documents of a revision: each part without the keys deleted from it."""
+        """The documents of a revision: rows of each part without the keys that a later part deletes."""
         schema = manifest.schema.spark
-        out = self.spark.createDataFrame([], schema)
-        frames = []
-        for name, deleted in manifest.parts:
-            part = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-            if deleted:
-                part = part.join(self.spark.read.schema("_pk string").parquet(f"{self.root}/{deleted}"), PK, "left_anti")
-            frames.append(part)
-        for i, frame in enumerate(frames):
-            out = frame if i == 0 else out.unionByName(frame)
-        return out
+        read = lambda name, s: self.spark.read.schema(s).parquet(f"{self.root}/{name}")
+        data = [read(d, schema).withColumn("_seq", F.lit(i)) for i, (d, _) in enumerate(manifest.parts) if d]
+        gone = [read(k, f"{PK} string").withColumn("_gone", F.lit(i)) for i, (_, k) in enumerate(manifest.parts) if k]
+        if not data:
+            return self.spark.createDataFrame([], schema)
+        docs = reduce(DataFrame.unionByName, data)
+        if gone:
+            last = reduce(DataFrame.unionByName, gone).groupBy(PK).agg(F.max("_gone").alias("_gone"))
+            docs = docs.join(last, PK, "left").where(F.col("_gone").isNull() | (F.col("_seq") >= F.col("_gone")))
+        return docs.select(*schema.names)
 
     def prune(self, keep: int = 2) -> None:
         """Remove old manifests and directories that the kept ones do not name."""
