@@ -9,8 +9,8 @@ shingles (tokens). Exact, and without all pairs of any group:
    so a document with fewer shared tokens links with nothing and is done. This drops most documents,
    whatever boilerplate they hold. Equal sets are one class from here on.
 2. A class is indexed under its prefix, rare tokens first: two linked classes share a token among
-   their first n - ceil(percent * n) + 1. Within each token (and salt) every class is compared with two
-   centres only: the smallest id and the class with the fewest tokens of its own. Verified links make
+   their first n - ceil(percent * n) + 1, and as their first common one it bounds how large the other may
+   be. Within each token every class is compared with ``CENTRES`` classes only. Verified links make
    the groups.
 3. The token-group matrix has a row for each token and group that a member's token set holds: the
    group's token union. A class and another group with a common prefix token are a candidate; the
@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import partitions, salt_of, saved, small_batches
@@ -42,6 +42,10 @@ WORDS, PERCENT = 5, 80
 #: Bytes of a token's hash beyond the first step; 6 from some 10**11 tokens on.
 TOKEN_BYTES = 5
 SALTS = 64
+#: Bytes of text whose tokens are packed together.
+STRETCH = 4 << 20
+#: Centres of a token: the smallest id, the least share of own tokens, and pseudorandom ones.
+CENTRES = 8
 
 _NO_ID = (1 << 63) - 1
 _INFO = np.dtype([("id", "<i8"), ("th", "<i8"), ("n", "<i8"), ("cls", "V16")])
@@ -102,7 +106,7 @@ def _packer(buckets: int, words: int):
     """Blocks of tokens by bucket, and one block (part 0) with what the stretch's documents are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in stretches(batches, 2):
+        for rows in stretches(batches, 2, STRETCH):
             for at in range(0, len(rows), 1 << 16):
                 part = rows.slice(at, 1 << 16)
                 sets = shingle_sets(_one(part.column(2)), words)
@@ -203,20 +207,23 @@ def token_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
 
 
 def _prefixes(percent: int):
-    """(token, id, n, own) for the shared tokens in each class's prefix, rare tokens first; own is the
-    share of tokens that no other document has, in 1/256."""
+    """(token, id, n, own, cap) for the shared tokens in each class's prefix, rare tokens first. own is
+    the share of tokens that no other document has, in 1/256. cap is the largest set with which a
+    link can have this token as its first common one: of the tokens before it none is common, so the
+    rest must hold the overlap that the two sizes ask for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for i, n, data, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens, code = _tokens_of(data), np.frombuffer(codes, np.uint8)
                 own = n - len(tokens)
                 keep = np.lexsort((tokens, code))[: max(0, n - _needed(n, percent) + 1 - own)]
-                for col, x in zip(out, (tokens[keep].astype(np.int64), np.full(len(keep), i), np.full(len(keep), n), np.full(len(keep), 256 * own // n)), strict=True):
+                cap = (100 + percent) * (n - own - np.arange(len(keep))) // percent - n
+                for col, x in zip(out, (tokens[keep].astype(np.int64), np.full(len(keep), i), np.full(len(keep), n), np.full(len(keep), 256 * own // n), cap), strict=True):
                     col.append(x)
             cols = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["token", "id", "n", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["token", "id", "n", "own", "cap"])
 
     return run
 
@@ -232,8 +239,9 @@ def _linked(percent: int):
     return run
 
 
-def _close_sizes(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _first_common(percent: int) -> Column:
+    """Whether u and v can link with this row's token as their first common one."""
+    return (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & (F.col("nv") <= F.col("cu")) & (F.col("nu") <= F.col("cv"))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -245,18 +253,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _to_centres(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs of every class with the centres of its tokens: by salt, and the salts' with the token's."""
+    """Pairs of every class with the centres of its tokens. Centres are gathered over salts and dealt
+    back to the salts in use."""
     dealt = postings.withColumn("salt", salt_of(F.col("id"), SALTS))
-    one, other = F.struct("id", "n"), F.struct("own", "id", "n")
-    by_salt = dealt.groupBy("token", "salt").agg(F.min(one).alias("c0"), F.min(other).alias("c1"))
-    top = by_salt.groupBy("token").agg(F.min("c0").alias("t0"), F.min("c1").alias("t1"))
-    near = dealt.join(by_salt, ["token", "salt"])
-    far = by_salt.join(top, "token")
-    pair = lambda a, an, b: F.struct(a.alias("u"), an.alias("nu"), b["id"].alias("v"), b["n"].alias("nv"))
-    pairs = near.select(F.explode(F.array(pair(F.col("id"), F.col("n"), F.col("c0")), pair(F.col("id"), F.col("n"), F.col("c1")))).alias("p")).union(
-        far.select(F.explode(F.array(*(pair(F.col(c)["id"], F.col(c)["n"], F.col(t)) for c in ("c0", "c1") for t in ("t0", "t1")))).alias("p"))
-    )
-    return pairs.select("p.*").where("u <> v").where(_close_sizes("nu", "nv", percent)).select("u", "v").distinct()
+    orders = [F.lit(0).cast("long"), F.col("own"), *(F.xxhash64("id", F.lit(r)) for r in range(CENTRES - 2))]
+    names = [f"c{i}" for i in range(CENTRES)]
+    by_salt = dealt.groupBy("token", "salt").agg(*(F.min(F.struct(o.alias("o"), "id", "n", "cap")).alias(c) for o, c in zip(orders, names, strict=True)))
+    top = by_salt.groupBy("token").agg(*(F.min(c).alias(c) for c in names), F.collect_set("salt").alias("salts"))
+    near = dealt.join(top.withColumn("salt", F.explode("salts")).drop("salts"), ["token", "salt"])
+    pairs = near.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("cap").alias("cu"), F.explode(F.array_distinct(F.array(*(F.struct(F.col(c)["id"].alias("v"), F.col(c)["n"].alias("nv"), F.col(c)["cap"].alias("cv")) for c in names)))).alias("p"))
+    return pairs.select("u", "nu", "cu", "p.*").where("u <> v").where(_first_common(percent)).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def _exploded(classes: DataFrame) -> DataFrame:
@@ -279,8 +285,8 @@ def _across_groups(postings: DataFrame, classes: DataFrame, groups: DataFrame, p
     shared = saved(grouped.join(mixed, "token", "left_semi"), "mixed")
     if shared.isEmpty():
         return None
-    index = shared.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("small"), F.max("n").alias("large"))
-    fits = (F.col("large") * 100 >= F.col("n") * percent) & (F.col("small") * percent <= F.col("n") * 100)
+    index = shared.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("small"), F.max("n").alias("large"), F.max("cap").alias("top"))
+    fits = (F.col("large") * 100 >= F.col("n") * percent) & (F.col("small") * percent <= F.col("n") * 100) & (F.col("small") <= F.col("cap")) & (F.col("n") <= F.col("top"))
     asked = saved(shared.join(index, "token").where((F.col("g") != F.col("h")) & fits).select("id", "g", "h").distinct(), "asked")
     # The matrix: the token unions of the groups that are asked for.
     members = classes.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("h", F.coalesce("component", "id"))
@@ -290,9 +296,9 @@ def _across_groups(postings: DataFrame, classes: DataFrame, groups: DataFrame, p
     overlap = asked.join(tokens, "id").join(matrix, ["token", "h"]).groupBy("id", "g", "h", "n").agg(F.count("*").alias("k"))
     opened = saved(overlap.where(F.col("k") * 100 >= F.col("n") * percent).select("id", "g", "h"), "opened")
     # Both classes of a link open each other's group.
-    left = shared.join(opened, ["id", "g"]).select("token", F.col("id").alias("u"), F.col("n").alias("nu"), "g", "h")
-    right = left.select("token", F.col("u").alias("v"), F.col("nu").alias("nv"), F.col("h").alias("g"), F.col("g").alias("h"))
-    pairs = left.join(right, ["token", "g", "h"]).where("u < v").where(_close_sizes("nu", "nv", percent)).select("u", "v").distinct()
+    left = shared.join(opened, ["id", "g"]).select("token", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("cap").alias("cu"), "g", "h")
+    right = left.select("token", F.col("u").alias("v"), F.col("nu").alias("nv"), F.col("cu").alias("cv"), F.col("h").alias("g"), F.col("g").alias("h"))
+    pairs = left.join(right, ["token", "g", "h"]).where("u < v").where(_first_common(percent)).select("u", "v").distinct()
     return _verified(pairs, classes, percent)
 
 
@@ -310,7 +316,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     ids = saved(by_salt.groupBy("cls").agg(F.min("least").alias("class_id"), F.collect_set("salt").alias("salts")), "classes")
     held = sets.where("tokens IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("codes").alias("codes"))
     classes = saved(held.join(ids, "cls").select(F.col("class_id").alias("id"), "n", "tokens", "codes"), "held")
-    prefixes = classes.select("id", "n", "tokens", "codes").mapInArrow(_prefixes(percent), "token long, id long, n long, own long")
+    prefixes = classes.select("id", "n", "tokens", "codes").mapInArrow(_prefixes(percent), "token long, id long, n long, own long, cap long")
     postings = saved(prefixes, "postings")
     links = saved(_verified(_to_centres(postings, percent), classes, percent), "links")
     groups = connected(links)
