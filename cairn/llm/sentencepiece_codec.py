@@ -26,9 +26,9 @@ from cairn.llm.common import small_batches
 
 MARK = "▁"
 #: Characters that a task's table may hold before it starts anew.
-TABLE_CHARS = 6 << 20
+TABLE_CHARS = 3 << 20
 #: Bytes of text that a task cuts and joins at a time.
-STRETCH = 4 << 20
+STRETCH = 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -107,14 +107,14 @@ class Segmenter:
         return both.take(pa.array(np.where(odd.to_numpy(zero_copy_only=False), at + len(out), at)))
 
 
-def stretches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
-    """The same rows, in tables of about ``STRETCH`` bytes of the given column."""
+def stretches(batches: Iterator[pa.RecordBatch], column: int, most: int = STRETCH) -> Iterator[pa.Table]:
+    """The same rows, in tables of about ``most`` bytes of the given column."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         held.append(batch)
         size += batch.column(column).nbytes
-        if size >= STRETCH:
+        if size >= most:
             yield pa.Table.from_batches(held).combine_chunks()
             held, size = [], 0
     if held:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import small_batches
+from cairn.llm.common import ARROW_ROWS, small_batches
 from cairn.llm.sentencepiece_codec import _one, stretches
 
 BITS = 22
@@ -74,8 +75,13 @@ def _distinct(rows: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def count_ratios(examples: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Each feature's smoothed log count ratio; 0 for those of too few texts."""
+
     def counts(label: int) -> np.ndarray:
-        return np.bincount(np.concatenate([np.empty(0, np.int64), *(e for e, y in zip(examples, labels, strict=True) if y == label)]), minlength=1 << BITS)
+        out = np.zeros(1 << BITS, np.int32)
+        for e, y in zip(examples, labels, strict=True):
+            if y == label:
+                out[e] += 1  # an example's features are distinct
+        return out
 
     toxic, other = counts(1), counts(0)
     ratio = np.log((toxic + 1) / ((labels == 1).sum() + 2)) - np.log((other + 1) / ((labels == 0).sum() + 2))
@@ -86,7 +92,7 @@ def learn(examples: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS)
     """FTRL-proximal over the examples in the order given: (features, weights other than 0, bias)."""
     bias = 1 << BITS
     value = np.append(count_ratios(examples, labels), 1.0)
-    examples = [np.append(e[value[e] != 0], bias) for e in examples]
+    examples = [np.append(e[value[e] != 0], bias).astype(np.int32) for e in examples]
     z, n = np.zeros(bias + 1), np.zeros(bias + 1)
 
     def weight(at: np.ndarray) -> np.ndarray:
@@ -114,7 +120,7 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: (r[0], r[1], r[2]))
-    at, w, bias = learn([np.frombuffer(r[2], "<i4").astype(np.int64) for r in rows], np.array([r[1] for r in rows], float))
+    at, w, bias = learn([np.frombuffer(r[2], "<i4") for r in rows], np.array([r[1] for r in rows], float))
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, 1 << BITS), pa.int64()), pa.array(np.append(w, bias), pa.float64())], ["feature", "weight"])
 
 
@@ -124,9 +130,18 @@ class Model:
     def __init__(self, features: np.ndarray, weights: np.ndarray, bias: float) -> None:
         self.features, self.weights, self.bias = features, weights, bias
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        table = np.zeros(1 << BITS, np.float64)
+    @cached_property
+    def _table(self) -> np.ndarray:
+        """All weights by feature, built once in each task; only the sparse form travels."""
+        table = np.zeros(1 << BITS, np.float32)
         table[self.features] = self.weights
+        return table
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_table"}
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        table = self._table
         of, found = features(texts)
         hit = table[found] != 0
         of, found = _distinct(of[hit], found[hit])
@@ -170,8 +185,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def _keeper(model: Model, at: int, cut: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(model.scores(batch.column(at)) < cut))
+        for rows in stretches(batches, at):
+            kept = rows.filter(pa.array(model.scores(_one(rows.column(at))) < cut))
+            yield from kept.to_batches(max_chunksize=ARROW_ROWS)
 
     return run
 
