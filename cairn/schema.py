@@ -19,11 +19,11 @@ SCALARS: dict[str, T.DataType] = {
     "binary": T.BinaryType(), "string": T.StringType(), "bool": T.BooleanType(), "int32": T.IntegerType(), "int64": T.LongType(),
     "uint32": T.LongType(), "uint64": T.DecimalType(20, 0), "float": T.FloatType(), "double": T.DoubleType(),
 }
-SCALARS |= {f"array_{k}": T.ArrayType(v, False) for k, v in list(SCALARS.items())}
-_SPARSE = T.StructType([T.StructField("indices", T.ArrayType(T.LongType(), False)), T.StructField("values", T.ArrayType(T.FloatType(), False))])
+SCALARS |= {f"array_{k}": T.ArrayType(v) for k, v in list(SCALARS.items())}
+_SPARSE = T.StructType([T.StructField("indices", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.FloatType()))])
 VECTORS: dict[str, T.DataType] = {
-    "vector_fp16": T.ArrayType(T.FloatType(), False), "vector_fp32": T.ArrayType(T.FloatType(), False), "vector_fp64": T.ArrayType(T.DoubleType(), False),
-    "vector_int4": T.ArrayType(T.ByteType(), False), "vector_int8": T.ArrayType(T.ByteType(), False), "vector_int16": T.ArrayType(T.ShortType(), False),
+    "vector_fp16": T.ArrayType(T.FloatType()), "vector_fp32": T.ArrayType(T.FloatType()), "vector_fp64": T.ArrayType(T.DoubleType()),
+    "vector_int4": T.ArrayType(T.ByteType()), "vector_int8": T.ArrayType(T.ByteType()), "vector_int16": T.ArrayType(T.ShortType()),
     "vector_binary32": T.BinaryType(), "vector_binary64": T.BinaryType(), "sparse_vector_fp16": _SPARSE, "sparse_vector_fp32": _SPARSE,
 }
 RANGES = {"int32": (-(1 << 31), (1 << 31) - 1), "int64": (-(1 << 63), (1 << 63) - 1), "uint32": (0, (1 << 32) - 1), "uint64": (0, (1 << 64) - 1)}
@@ -176,7 +176,7 @@ class CollectionSchema:
     @property
     def spark(self) -> T.StructType:
         columns = [T.StructField(PK, T.StringType(), False), *(T.StructField(f.name, f.spark) for f in (*self.fields, *self.vectors))]
-        return T.StructType([*columns, T.StructField(NULLS, T.ArrayType(T.StringType(), False))])
+        return T.StructType([*columns, T.StructField(NULLS, T.ArrayType(T.StringType()))])
 
     def to_json(self) -> dict[str, Any]:
         return json.loads(json.dumps(asdict(self)))
