@@ -60,3 +60,13 @@ def words(text: Column) -> Column:
 def salt_of(key: Column, ways: int) -> Column:
     """A salt that depends on the row alone, so a recomputed task deals it out alike."""
     return F.pmod(F.xxhash64(key), F.lit(ways)).cast("int")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` with each row as one struct, _row: no column of theirs can clash with one of ours."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
+def unpacked(columns: list[str], **replaced: Column) -> list[Column]:
+    """The columns of the packed rows, some of them replaced."""
+    return [replaced.get(c, F.col("_row").getField(c)).alias(c) for c in columns]

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import SPACE_RUN, WORD, salt_of, saved
+from cairn.llm.common import SPACE_RUN, WORD, packed, salt_of, saved, unpacked
 
 #: Words of a window, and of a gram, the shortest run that is deleted.
 WINDOW, GRAM = 10, 20
@@ -33,9 +33,10 @@ def _lines(text: Column) -> Column:
 
 
 def _identity(docs: DataFrame) -> DataFrame:
-    """``docs`` with its rows' identity: _id (a null id comes last) and _th, a hash of the text. Rows
-    that agree in both are one document."""
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    """``docs`` packed, with its rows' text and identity: _id (a null id comes last) and _th, a hash of
+    the text. Rows that agree in both are one document."""
+    text = F.col("_row.text")
+    return packed(docs).select("_row", text.alias("text"), F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_th"))
 
 
 def sequences(docs: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` with text (later repeated runs of lines deleted), n_chars (where there is one) its new
-    length, and n_removed, the number of lines deleted.
+    length, and n_removed, the number of lines deleted (in place of a column of that name).
 
     Lines are compared without case and with white space as one space; blank lines stay and don't
     break a run. Null texts stay null, untouched texts stay as they are; a text may become empty. Of
@@ -105,8 +106,9 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
     kept = F.array_except(F.sequence(F.lit(0), F.size(_lines(F.col("text"))) - 1), F.col("removed"))
     joined = _identity(docs).join(cut, ["_id", "_th"], "left").withColumn("_lines", _lines(F.col("text")))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-    out = joined.withColumns({"text": text, "n_removed": F.coalesce(F.size("removed"), F.lit(0))})
+    done = joined.withColumns({"new": text, "count": F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed"))})
+    replaced = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, "n_removed")
+        length = F.length("new").cast(docs.schema["n_chars"].dataType)
+        replaced["n_chars"] = F.when(F.col("count") > 0, length).otherwise(F.col("_row.n_chars"))
+    return done.select(*unpacked([c for c in docs.columns if c != "n_removed"], **replaced), F.col("count").alias("n_removed"))

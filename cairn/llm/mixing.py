@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import WORD, saved, words
+from cairn.llm.common import WORD, packed, saved, unpacked, words
 
 #: Words of one block; production sequences are longer, at the price of coarser targets.
 BLOCK_WORDS = 64
@@ -162,15 +162,21 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     rows = pieces.groupBy("doc_id", "sk", "size", "start").agg(F.sort_array(F.collect_list(F.struct("block", "lo", "len", "times"))).alias("parts"))
     same = rows.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_no_id"), F.col("sk").alias("_sk"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list(F.struct("start", "parts"))).alias("_rows"))
     keys = ["_id", "_no_id", "_sk", "_size"]
-    source = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_no_id": F.col("doc_id").isNull(), "_sk": source, "_size": F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")})
+    row = F.col("_row")
+    keyed = packed(docs).withColumns({
+        "_id": F.coalesce(row["doc_id"].cast("long"), F.lit(-1)),
+        "_no_id": row["doc_id"].isNull(),
+        "_sk": F.coalesce(F.concat(F.lit("s"), row["source"]), F.lit("n")),
+        "_size": F.regexp_count(F.coalesce(row["text"], F.lit("")), F.lit(WORD)).cast("long"),
+    })
     turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
     met = keyed.join(same, keys).withColumn("_turn", turn).where(F.col("_turn") <= F.size("_rows"))
-    met = met.withColumns({"_parts": F.element_at("_rows", F.col("_turn"))["parts"], "_words": words(F.col("text"))})
+    met = met.withColumns({"_parts": F.element_at("_rows", F.col("_turn"))["parts"], "_words": words(row["text"])})
     piece = lambda p: F.array_join(F.slice("_words", (p["lo"] + 1).cast("int"), p["len"].cast("int")), " ")
     in_pass = lambda t: lambda p: p["times"] >= t
     passes = [F.transform(F.filter("_parts", in_pass(t)), piece) for t in range(1, CAP + 1)]
-    met = met.withColumn("text", F.array_join(F.concat(*passes), " "))
+    met = met.withColumn("_text", F.array_join(F.concat(*passes), " "))
+    replaced = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        met = met.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return met.select(*docs.columns)
+        replaced["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return met.select(*unpacked(docs.columns, **replaced))

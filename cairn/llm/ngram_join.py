@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import partitions, salt_of, saved, small_batches
+from cairn.llm.common import packed, partitions, salt_of, saved, small_batches, unpacked
 from cairn.llm.components import connected
 from cairn.llm.sentencepiece_codec import _one, stretches
 
@@ -338,7 +338,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     part = F.coalesce("component_id", F.col("th"))
     best = found.where("n_shingles > 0").groupBy(part.alias("part"), F.col("component_id").isNull()).agg(F.min(full).alias("k")).select("k.*", F.lit(True).alias("_one"))
     empty = found.where("n_shingles = 0").select(full.alias("k")).distinct().select("k.*", F.lit(False).alias("_one"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    keyed = packed(docs).withColumns({"_id": F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(_NO_ID)), "_th": F.xxhash64(F.coalesce("_row.text", F.lit("")))})
     kept = keyed.join(best.union(empty), ["_id", "_th"])
     turn = F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.lit(0)))
-    return kept.withColumn("_turn", turn).where((F.col("_turn") == 1) | ~F.col("_one")).select(*docs.columns)
+    return kept.withColumn("_turn", turn).where((F.col("_turn") == 1) | ~F.col("_one")).select(*unpacked(docs.columns))
