@@ -1,0 +1,180 @@
+"""Collections and operators on small tables, and registered queries against DuckDB."""
+
+import math
+import os
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__
+from cairn import registry
+from cairn.collection import Collection, Options
+from cairn.errors import CairnError
+from cairn.functions import quantize
+from cairn.functions.graphs import Graph
+from cairn.plans.queries import GroupByQuery, MultiQuery, binary, by_id, dense, match, query_string, sparse
+from cairn.schema import PK, CollectionSchema, FieldSchema, IndexParams, VectorSchema
+from cairn.streaming.ingest import stream_into
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+SCHEMA = CollectionSchema(
+    "things",
+    (FieldSchema("kind", "string", True), FieldSchema("size", "int32"), FieldSchema("body", "string", True, IndexParams("fts")), FieldSchema("tags", "array_string", True)),
+    (VectorSchema("v", "vector_fp32", 4), VectorSchema("s", "sparse_vector_fp32", 8), VectorSchema("b", "vector_binary32", 32)),
+)
+
+
+def thing(i):
+    doc = {"id": f"d{i:02}", "size": i, "body": f"alpha {'beta ' * (i % 3)}gamma{i % 2}", "tags": ["x", str(i % 2)], "v": [math.sin(i + k) for k in range(4)], "b": bytes([i, 0, 255, i])}
+    if i % 3:
+        doc["kind"] = "odd" if i % 2 else "even"
+    elif i % 2:
+        doc["kind"] = None
+    if i % 4:
+        doc["s"] = {i % 8: 1.0, (i + 3) % 8: 0.5}
+    return doc
+
+
+@pytest.fixture(scope="module")
+def things(spark, tmp_path_factory):
+    c = Collection.create(spark, str(tmp_path_factory.mktemp("c") / "things"), SCHEMA)
+    assert all(r.ok for r in c.insert([thing(i) for i in range(30)]))
+    yield c
+    c.close()
+
+
+def ids(df):
+    return [r[PK] for r in df.collect()]
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("kind == 'odd'", lambda d: d.get("kind") == "odd"),
+        ("kind != 'odd'", lambda d: "kind" in d and d["kind"] != "odd"),
+        ("not kind == 'odd'", lambda d: d.get("kind") != "odd"),
+        ("kind == null", lambda d: "kind" in d and d["kind"] is None),
+        ("kind != null", lambda d: d.get("kind") is not None),
+        ("kind in [null, 'even']", lambda d: "kind" in d and d["kind"] in (None, "even")),
+        ("kind not in [null]", lambda d: "kind" not in d or d["kind"] is not None),
+        ("kind is_null", lambda d: d.get("kind") is None),
+        ("size >= 3.5 and size < 9 or id == 'd20'", lambda d: 3.5 <= d["size"] < 9 or d["id"] == "d20"),
+        ("size in [1, 2.5, 4]", lambda d: d["size"] in (1, 4)),
+        ("size == '3'", lambda d: False),
+        ("tags contain_all ['x', '1']", lambda d: d["size"] % 2 == 1),
+        ("tags == 'x' or size != 'x' and size < 2", lambda d: d["size"] < 2),
+        ("body like '*gamma_' and not body has_suffix '1'", lambda d: d["size"] % 2 == 0),
+        ("missing != 1 or not missing == 1 and size < 3", lambda d: d["size"] < 3),
+    ],
+)
+def test_filters(things, text, wanted):
+    from cairn.plans import filters
+
+    assert sorted(ids(filters.where(things.documents(), text))) == [d["id"] for d in map(thing, range(30)) if wanted(d)]
+
+
+def test_vector_routes(things):
+    q = [0.1, -0.4, 0.3, 0.9]
+    docs = [thing(i) for i in range(30)]
+    cos = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
+    f32 = lambda v: np.array(v, np.float32).astype(float)
+    assert ids(things.query(dense("v", q, 5))) == [d["id"] for d in sorted(docs, key=lambda d: (-cos(f32(d["v"]), q), d["id"]))[:5]]
+    got = things.query(by_id("v", "d07", 30).within(0.5)).collect()
+    assert got[0][PK] == "d07" and all(r._score >= 0.5 for r in got)
+    with pytest.raises(CairnError):
+        things.query(by_id("s", "d04"))
+    best = things.query(sparse("s", {1: 1.0, 4: 2.0}, 3)).collect()
+    assert best[0]._score == pytest.approx(max(sum(w * d["s"].get(i, 0) for i, w in ((1, 1.0), (4, 2.0))) / math.sqrt(5 * 1.25) for d in docs if "s" in d))
+    ham = lambda d: -sum((x ^ y).bit_count() for x, y in zip(d["b"], b"\x01\x00\xff\x01", strict=True))
+    assert [(r[PK], r._score) for r in things.query(binary("b", b"\x01\x00\xff\x01", 6)).collect()] == [(d["id"], ham(d)) for d in sorted(docs, key=lambda d: (-ham(d), d["id"]))[:6]]
+    for bad in (dense("v", [1.0]), dense("size", q), dense("v", q).limit(0), dense("v", q).controls(ef=3), sparse("s", {9: 1.0}), match("size", "x")):
+        with pytest.raises(CairnError):
+            things.query(bad)
+
+
+def test_text_fusion_groups(things):
+    assert set(ids(things.query(query_string("body", "+beta gamma1 -gamma0", 30)))) == {d["id"] for d in map(thing, range(30)) if d["size"] % 3 and d["size"] % 2}
+    assert set(ids(things.query(query_string("body", '"beta gamma1"~0', 30)))) == {d["id"] for d in map(thing, range(30)) if d["size"] % 3 and d["size"] % 2}
+    assert things.query(match("body", "gamma1 beta", 30, "and").where("size < 9")).count() == 3
+    fused = things.multi_query(MultiQuery((dense("v", [1, 0, 0, 0], 5), match("body", "beta", 5)), 4)).collect()
+    assert len(fused) == 4 and fused[0]._score <= 2 / 61 + 1e-6
+    groups = things.group_by(GroupByQuery(dense("v", [1, 0, 0, 0]), "kind", 3, 2)).collect()
+    assert 1 <= len(groups) <= 6 and all(r._key in ('"odd"', '"even"', "__null__") for r in groups)
+
+
+def test_changes_and_revisions(spark, tmp_path):
+    path = str(tmp_path / "c")
+    c = Collection.create(spark, path, SCHEMA)
+    assert [r.code for r in c.insert([thing(1), thing(1), {"id": "x"}, thing(2) | {"size": 1 << 31}, thing(3) | {"other": 1}])] == ["", "already_exists", "invalid_argument", "invalid_argument", "invalid_argument"]
+    before = c.documents()
+    c.upsert([thing(1) | {"size": 9}, thing(4)])
+    c.update([{"id": "d04", "size": 44}])
+    assert sorted((r[PK], r["size"]) for r in c.documents().collect()) == [("d01", 9), ("d04", 44)]
+    assert [r["size"] for r in before.collect()] == [1]  # a reader keeps its revision
+    with pytest.raises(CairnError):
+        Collection.open(spark, path)
+    reader = Collection.open(spark, path, Options(read_only=True))
+    assert reader.count() == 2
+    with pytest.raises(CairnError):
+        reader.delete(["d01"])
+    assert [r.ok for r in c.delete(["d01", "none"])] == [True, False]
+    c.add_column(FieldSchema("n", "int64", True), "5")
+    c.alter_column(FieldSchema("n", "int64", False))
+    c.flush()
+    assert c.fetch(["d04", "d04", "d01"]).select("n").collect() == [(5,), (5,)]
+    c.close()
+    c = Collection.open(spark, path)
+    assert [r[PK] for r in c.iter()] == ["d04"] and c.stats()["documents"] == 1
+    c.destroy()
+
+
+def test_stream(spark, tmp_path):
+    c = Collection.create(spark, str(tmp_path / "s"), CollectionSchema("s", (FieldSchema("n", "int64"),)))
+    for k in range(2):
+        spark.range(5 * k, 5 * k + 7).select(F.col("id").cast("string").alias(PK), F.lit(k).cast("long").alias("n")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(f"{PK} string, n long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream_into(stream, c, str(tmp_path / "ck")).awaitTermination(120)
+    assert c.count() == 12
+    c.close()
+
+
+def test_quantizers_and_graphs():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (800, 32))
+    queries = rng.normal(0, 1, (20, 32))
+    for metric in ("l2", "ip", "cosine"):
+        exact = [set(np.argsort(-quantize.metric_scores(x, q, metric), kind="stable")[:10]) for q in queries]
+        pq = quantize.ProductQuantizer.train(x, 8, 3)
+        codes = pq.encode(x)
+        coder = quantize.RaBitQ(x.mean(0), 7)
+        packed = coder.encode(x)
+        norms = (x * x).sum(1)
+        for layered in (True, False):
+            g = Graph.build(x, metric, 16, 64, layered, 1.2)
+            found = [len(exact[i] & {j for _, j in g.search(x, q, metric, 100)[:10]}) for i, q in enumerate(queries)]
+            assert np.mean(found) >= 9, (metric, layered)
+            assert {j for _, j in g.search(x, queries[0], metric, 800)[:10]} == exact[0]
+        assert np.mean([len(exact[i] & set(np.argsort(-coder.scores(*packed, norms, q, metric))[:10])) for i, q in enumerate(queries)]) >= 9
+        assert np.mean([len(exact[i] & set(np.argsort(-pq.scores(codes, q, metric))[:60])) for i, q in enumerate(queries)]) >= 7
+
+
+def plain(rows, columns):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    value = lambda v: round(v, 5) + 0.0 if isinstance(v, float) else v
+    return sorted((tuple(value(r[i]) for i in order) for r in rows), key=repr)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_registered_queries(spark):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    assert __spark_entry__.entry(spark).count() > 0
+    assert set(registry.ORACLE_SQL) <= set(__spark_entry__.queries())
+    for name in ("dense_l2", "dense_radius_cosine", "sparse_cosine", "binary_hamming", "filter_bool", "filter_absent", "tok_standard", "bm25_boolean", "phrase_slop", "wildcard", "rrf", "weighted_zscore", "group_by_topk", "update", "ivf_exhaustive"):
+        df, sql = registry.QUERIES[name](spark, SF), con.sql(registry.ORACLE_SQL[name])
+        got, wanted = plain(df.collect(), df.columns), plain(sql.fetchall(), sql.columns)
+        assert got == wanted and sorted(df.columns) == sorted(sql.columns), name
