@@ -133,7 +133,9 @@ def _pieces(rows: DataFrame, targets: DataFrame, block_words: int) -> DataFrame:
     parts = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {block_words}L"), last)))
     lo = F.greatest(F.col("start"), F.col("block") * block_words)
     hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
-    return parts.withColumns({"lo": lo - F.col("start"), "len": hi - lo}).join(taken, ["rank", "block"], "left")
+    # Spark sizes ``taken`` by the small table it is generated from; it grows with the corpus, so it
+    # must never be broadcast.
+    return parts.withColumns({"lo": lo - F.col("start"), "len": hi - lo}).join(taken.hint("merge"), ["rank", "block"], "left")
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
