@@ -140,7 +140,8 @@ def search(corpus: DataFrame, rows: DataFrame, text: str, query: Node, analyzer:
     """``rows`` that match, with ``_score``. Statistics are those of ``corpus`` (whatever the filter that
     gave ``rows``), over documents that have the text. Rows with a score of 0 or less are dropped."""
     terms = sorted(_terms(query))
-    own = analyzer.column(F.col(text))
+    # One element exploded: Spark then keeps the tokens instead of analyzing again at each use.
+    own = F.explode(F.array(analyzer.column(F.col(text))))
     held = corpus.where(F.col(text).isNotNull()).select(own.alias("_t"))
     facts = held.agg(F.count("*"), F.coalesce(F.sum(F.size("_t")), F.lit(0)), *(F.coalesce(F.sum(F.array_contains("_t", t).cast("long")), F.lit(0)) for t in terms)).first()
     n, total, dfs = float(facts[0]), float(facts[1]), [float(x) for x in facts[2:]]

@@ -55,8 +55,9 @@ def vector(f: VectorSchema, value: Any) -> Any:
             raise invalid(f"{f.name} needs {f.dimension} bits")
         return bytearray(value)
     if f.sparse:
-        items = value if isinstance(value, dict) else dict(zip(value["indices"], value["values"], strict=True)) if value else {}
-        if not items or len(items) < (len(value["indices"]) if isinstance(value, dict) and "indices" in value else 0):
+        pairs = list(zip(value["indices"], value["values"], strict=True)) if isinstance(value, dict) and set(value) == {"indices", "values"} else list(dict(value).items())
+        items = dict(pairs)
+        if not items or len(items) < len(pairs):
             raise invalid(f"{f.name} needs distinct indices")
         if any(not isinstance(i, int) or i < 0 or f.dimension and i >= f.dimension for i in items) or not all(map(math.isfinite, items.values())):
             raise invalid(f"{f.name} has an index or value out of range")

@@ -20,7 +20,6 @@ from cairn.schema import NULLS, PK
 
 _TOKEN = re.compile(r"""\s*(?:(?P<num>-?[0-9][0-9.]*)|(?P<str>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|(?P<op>&&|\|\||!=|==|<=|>=|[=<>!()\[\],])|(?P<word>[^\W\d][\w.]*))""", re.S)
 _WORD_OPS = ("in", "like", "is_null", "contain_all", "has_prefix", "has_suffix")
-_MIRROR = {"=": "=="}
 
 
 @dataclass(frozen=True)
@@ -206,11 +205,14 @@ class Compiler:
             a, b = self._pair(col, kind, v)
             return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[leaf.op]
         if leaf.op == "in":
-            found = F.lit(False)
             good = [x for x in v if x is not None and self._comparable(kind, x)]
-            if good:
-                pairs = [self._pair(col, kind, x) for x in good]
-                found = pairs[0][0].isin([x if not isinstance(x, float) else (int(x) if all(y.is_integer() and abs(y) < 2**31 for y in good) and isinstance(kind, (T.IntegerType, T.LongType)) else x) for x in good]) if all(str(p[0]) == str(pairs[0][0]) for p in pairs) else col.cast("double").isin(good)
+            whole = isinstance(kind, (T.IntegerType, T.LongType)) and all(isinstance(x, float) and x.is_integer() and abs(x) < 2**31 for x in good)
+            if not good:
+                found = F.lit(False)
+            elif whole:
+                found = col.isin([int(x) for x in good])
+            else:
+                found = (col.cast("double") if _number(kind) else col).isin(good)
             return F.coalesce(found, F.lit(False)) | explicit if None in v else found
         if leaf.op == "contain_all":
             if not isinstance(kind, T.ArrayType):
