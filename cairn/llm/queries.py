@@ -125,6 +125,17 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM o LEF
 
 ORACLE_SQL = {
     "op1_mixing": _mixing_sql(),
+    "op2_unit_dedup": r"""
+WITH u AS (SELECT doc_id, unnest(l) AS u, generate_subscripts(l, 1) AS n, len(l) AS c FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+p AS (SELECT *, CAST(coalesce(sum(length(u) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a,
+  [x FOR x IN regexp_split_to_array(lower(u), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM u),
+k AS (SELECT *, CASE WHEN len(w) >= 20 THEN trim(array_to_string(w, ' '), '.,;:!?-*#|"''() ') END AS key FROM p),
+g AS (SELECT *, key IS NOT NULL AND row_number() OVER (PARTITION BY key ORDER BY doc_id, n) > 1 AS gone FROM k)
+SELECT doc_id, CAST(count(*) FILTER (gone) AS INTEGER) AS n_removed,
+  coalesce(string_agg(a || ':' || (a + length(u)), ',' ORDER BY n) FILTER (gone), '') AS removed,
+  coalesce(string_agg(u || CASE WHEN n < c THEN chr(10) ELSE '' END, '' ORDER BY n) FILTER (NOT gone), '') AS text
+FROM g GROUP BY doc_id
+""",
     "op8_topk_search": """
 WITH s AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
