@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import packed, partitions, salt_of, saved, small_batches, unpacked
+from cairn.llm.common import lean, packed, partitions, salt_of, saved, small_batches, unpacked
 from cairn.llm.components import connected
 from cairn.llm.sentencepiece_codec import _one, stretches
 
@@ -201,8 +201,8 @@ def token_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     n = partitions(spark)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    shared = keyed.mapInArrow(_packer(n, words), _PACKED).repartitionById(n, F.col("bucket")).mapInArrow(_sharer, _PACKED)
-    gathered = shared.repartition(n, F.col("stretch")).sortWithinPartitions("stretch").mapInArrow(_gatherer(percent), _SETS)
+    shared = keyed.mapInArrow(lean(_packer(n, words)), _PACKED).repartitionById(n, F.col("bucket")).mapInArrow(lean(_sharer), _PACKED)
+    gathered = shared.repartition(n, F.col("stretch")).sortWithinPartitions("stretch").mapInArrow(lean(_gatherer(percent)), _SETS)
     return saved(gathered, "sets")
 
 
@@ -249,7 +249,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     dealt = pairs.withColumn("salt", salt_of(F.col("u"), SALTS))
     copies = dealt.select("v", "salt").distinct().join(classes.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("b")), "v")
     met = dealt.join(copies, ["v", "salt"]).join(classes.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("a")), "u")
-    return met.select("u", "v", "nu", "nv", "a", "b").mapInArrow(_linked(percent), "u long, v long")
+    return met.select("u", "v", "nu", "nv", "a", "b").mapInArrow(lean(_linked(percent)), "u long, v long")
 
 
 def _to_centres(postings: DataFrame, percent: int) -> DataFrame:
@@ -275,7 +275,7 @@ def _exploded(classes: DataFrame) -> DataFrame:
             size = [len(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), size)), pa.array(np.repeat(np.array(ns, np.int64), size)), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).astype(np.int64))], ["id", "n", "token"])
 
-    return classes.select("id", "n", "tokens").mapInArrow(run, "id long, n long, token long")
+    return classes.select("id", "n", "tokens").mapInArrow(lean(run), "id long, n long, token long")
 
 
 def _across_groups(postings: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame | None:
@@ -316,7 +316,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     ids = saved(by_salt.groupBy("cls").agg(F.min("least").alias("class_id"), F.collect_set("salt").alias("salts")), "classes")
     held = sets.where("tokens IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("codes").alias("codes"))
     classes = saved(held.join(ids, "cls").select(F.col("class_id").alias("id"), "n", "tokens", "codes"), "held")
-    prefixes = classes.select("id", "n", "tokens", "codes").mapInArrow(_prefixes(percent), "token long, id long, n long, own long, cap long")
+    prefixes = classes.select("id", "n", "tokens", "codes").mapInArrow(lean(_prefixes(percent)), "token long, id long, n long, own long, cap long")
     postings = saved(prefixes, "postings")
     links = saved(_verified(_to_centres(postings, percent), classes, percent), "links")
     groups = connected(links)

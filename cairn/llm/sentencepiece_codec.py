@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import small_batches
+from cairn.llm.common import lean, small_batches
 
 MARK = "▁"
 #: Characters that a task's table may hold before it starts anew.
@@ -139,7 +139,7 @@ def encode(docs: DataFrame, model: str, table_chars: int = TABLE_CHARS) -> DataF
     """doc_id and ids (array<int>) of every row's whole text, as the library encodes it without
     begin and end ids. Null and empty texts have no ids; repeated rows give repeated rows."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoder(model, table_chars), "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_encoder(model, table_chars)), "doc_id long, ids array<int>")
 
 
 @lru_cache(maxsize=2)
@@ -193,4 +193,4 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     """``encoded`` (doc_id, ids) with the text that the library's decode(ids) gives, as ``decoded``.
     Null ids decode to the empty text."""
     small_batches(encoded.sparkSession)
-    return encoded.select("doc_id", "ids").mapInArrow(_decoder(model), "doc_id long, ids array<int>, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(_decoder(model)), "doc_id long, ids array<int>, decoded string")

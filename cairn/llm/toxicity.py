@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ARROW_ROWS, small_batches
+from cairn.llm.common import ARROW_ROWS, lean, small_batches
 from cairn.llm.sentencepiece_codec import _one, stretches
 
 BITS = 22
@@ -90,9 +90,13 @@ def count_ratios(examples: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 
 def learn(examples: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """FTRL-proximal over the examples in the order given: (features, weights other than 0, bias)."""
-    bias = 1 << BITS
-    value = np.append(count_ratios(examples, labels), 1.0)
-    examples = [np.append(e[value[e] != 0], bias).astype(np.int32) for e in examples]
+    ratio = count_ratios(examples, labels)
+    known = np.flatnonzero(ratio)
+    bias = len(known)
+    # Each example's known features, by their places among all known ones, and the bias.
+    examples = [np.append(np.searchsorted(known, e[ratio[e] != 0]), bias).astype(np.int32) for e in examples]
+    value = np.append(ratio[known], 1.0)
+    del ratio
     z, n = np.zeros(bias + 1), np.zeros(bias + 1)
 
     def weight(at: np.ndarray) -> np.ndarray:
@@ -107,7 +111,7 @@ def learn(examples: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS)
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
             n[at] += g * g
     used = np.flatnonzero(np.abs(z[:-1]) > L1)
-    return used, weight(used) * value[used], float(weight(np.array([bias]))[0])
+    return known[used], weight(used) * value[used], float(weight(np.array([bias]))[0])
 
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id").alias("turn"), F.col("toxic").cast("int").alias("label")).orderBy("turn", "label").limit(max_rows)
     rows = docs.select(F.col("doc_id").alias("_doc"), "text").join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("turn", "label", "text")
-    packed = rows.mapInArrow(_features_of, "turn long, label int, found binary")
+    packed = rows.mapInArrow(lean(_features_of), "turn long, label int, found binary")
     # Learning is sequential and its input bounded: one task.
-    found = packed.repartition(1).mapInArrow(_learned, "feature long, weight double").collect()  # at most 2**BITS + 1 rows
+    found = packed.repartition(1).mapInArrow(lean(_learned), "feature long, weight double").collect()  # at most 2**BITS + 1 rows
     at = np.array([r[0] for r in found], np.int64)
     w = np.array([r[1] for r in found], float)
     inner = at < 1 << BITS
@@ -180,7 +184,7 @@ def _scorer(model: Model):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of every row's whole text; empty and null texts get the bias alone."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scorer(model), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_scorer(model)), "doc_id long, score double")
 
 
 def _keeper(model: Model, at: int, cut: float):
@@ -195,4 +199,4 @@ def _keeper(model: Model, at: int, cut: float):
 def drop_toxic(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """The rows of ``docs``, unchanged and with all their columns, whose score is below ``cut``."""
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(_keeper(model, docs.columns.index("text"), cut), docs.schema)
+    return docs.mapInArrow(lean(_keeper(model, docs.columns.index("text"), cut)), docs.schema)
