@@ -294,7 +294,12 @@ def _across_groups(postings: DataFrame, classes: DataFrame, groups: DataFrame, p
     matrix = _exploded(wanted).join(wanted.select("id", "h"), "id").select("token", "h").distinct()
     tokens = _exploded(classes.join(asked.select("id").distinct(), "id", "left_semi"))
     overlap = asked.join(tokens, "id").join(matrix, ["token", "h"]).groupBy("id", "g", "h", "n").agg(F.count("*").alias("k"))
-    opened = saved(overlap.where(F.col("k") * 100 >= F.col("n") * percent).select("id", "g", "h"), "opened")
+    # A link with a member of m tokens asks for percent * (n + m) / (100 + percent) common ones, and m is
+    # the group's smallest set or more: for a group of one class the bound is the link itself.
+    sizes = wanted.groupBy("h").agg(F.min("n").alias("small"))
+    least = F.greatest(F.col("n") * percent, F.col("small") * 100)
+    enough = F.col("k") * (100 + percent) * 100 >= percent * (F.col("n") * 100 + least)
+    opened = saved(overlap.join(sizes, "h").where(enough).select("id", "g", "h"), "opened")
     # Both classes of a link open each other's group.
     left = shared.join(opened, ["id", "g"]).select("token", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("cap").alias("cu"), "g", "h")
     right = left.select("token", F.col("u").alias("v"), F.col("nu").alias("nv"), F.col("cu").alias("cv"), F.col("h").alias("g"), F.col("g").alias("h"))
