@@ -168,6 +168,8 @@ def _gatherer(percent: int):
             tokens, of, codes = (np.concatenate([p[i] for p in parts]) for i in range(3))
             order = np.lexsort((tokens, of))
             tokens, of, codes = tokens[order], of[order], codes[order]
+            once = np.concatenate([[True], (of[1:] != of[:-1]) | (tokens[1:] != tokens[:-1])])
+            tokens, of, codes = tokens[once], of[once], codes[once]
             edges = np.flatnonzero(np.diff(of)) + 1
             for a, b in zip([0, *edges], [*edges, len(of)], strict=True):
                 row = rows[of[a]]
@@ -184,7 +186,7 @@ def _gatherer(percent: int):
                         yield close(x, parts)
                     now, info, parts = name, [], []
                 if part == 0:
-                    # Equal stretches have one name: each gets its rows, and their tokens count once.
+                    # Equal stretches have one name: each gets its rows, and ``close`` counts their tokens once.
                     info.append(np.frombuffer(tokens, _INFO))
                 else:
                     parts.append((_tokens_of(tokens), np.frombuffer(of, "<u2"), np.frombuffer(codes, np.uint8)))

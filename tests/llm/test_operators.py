@@ -221,6 +221,20 @@ def test_ngram_join_chains(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_components(frame(spark, chain)).collect()) == brute_components(chain)[0]
 
 
+def test_ngram_join_repeated_tables(spark):
+    rng = random.Random(21)
+    pool = [f"w{i}" for i in range(2000)]
+    texts = []
+    for i in range(24):  # half of each pair's shingles are common, far from a link
+        common = [rng.choice(pool) for _ in range(60)]
+        texts += [(2 * i + k, " ".join([*common, *(rng.choice(pool) for _ in range(40))]), "s") for k in range(2)]
+    docs = frame(spark, texts).coalesce(1).localCheckpoint()  # both halves have their rows in one order
+    twice = docs.union(docs)
+    expected, group, sets = brute_components(texts + texts)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_components(twice).collect()) == expected
+    assert sorted(r.text for r in ngram_join.keep_one(twice).collect()) == sorted(t for _, t, _ in texts)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     vectors = [(i, [float(x) for x in rng.normal(0, 0.3, 5)]) for i in range(300)]
