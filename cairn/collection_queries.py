@@ -28,7 +28,7 @@ def _embeddings(spark: SparkSession, sf_dir: str, index: IndexParams | None = No
 
 
 def _near(kind: str, params: dict, controls: dict, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search through an index at exhaustive settings: its results are the exact ones."""
+    """Search through an index; at exhaustive settings its results are the exact ones."""
     c = _embeddings(spark, sf_dir)
     c.create_index("embedding", IndexParams(kind, params))
     probe = _probe(_table(spark, sf_dir, "embeddings"))
@@ -51,7 +51,16 @@ for _name, _kind, _params, _controls in (
     ("pq_exhaustive", "diskann", {"metric": "l2", "pq_chunk_num": 8}, {"list_size": 1_000_000}),
 ):
     _add(_name, partial(_near, _kind, _params, _controls), _near_sql(_params.get("metric", "cosine")))
-for _name, _kind, _params, _controls in (("hnsw_bounded", "hnsw", {}, {"ef": 64}), ("ivf_bounded", "ivf", {"n_lists": 16}, {})):
+#: Searches that read a part of the index only: their results are approximate, so they have no SQL.
+BOUNDED = (
+    ("hnsw_bounded", "hnsw", {}, {"ef": 64}),
+    ("ivf_bounded", "ivf", {"n_lists": 16}, {"nprobe": 12}),
+    ("ivf_rabitq_bounded", "ivf_rabitq", {"n_lists": 16}, {"nprobe": 12}),
+    ("hnsw_rabitq_bounded", "hnsw_rabitq", {}, {"ef": 64}),
+    ("vamana_bounded", "vamana", {"metric": "l2"}, {"list_size": 64}),
+    ("pq_bounded", "diskann", {"metric": "l2", "pq_chunk_num": 8}, {"list_size": 128}),
+)
+for _name, _kind, _params, _controls in BOUNDED:
     _add(_name, partial(_near, _kind, _params, _controls))
 
 

@@ -1,5 +1,6 @@
 """Collections and operators on small tables, and registered queries against DuckDB."""
 
+import functools
 import math
 import os
 
@@ -9,13 +10,15 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from cairn import registry
+from cairn import collection_queries, registry
 from cairn.collection import Collection, Options
 from cairn.errors import CairnError
 from cairn.functions import quantize
 from cairn.functions.graphs import Graph
+from cairn.operators import ann
 from cairn.plans.queries import GroupByQuery, MultiQuery, binary, by_id, dense, match, query_string, sparse
 from cairn.schema import PK, CollectionSchema, FieldSchema, IndexParams, VectorSchema
+from cairn.sources.revisions import Store
 from cairn.streaming.ingest import stream_into
 
 SF = "/root/testdata/sf0.001"
@@ -161,6 +164,26 @@ def test_quantizers_and_graphs():
         assert np.mean([len(exact[i] & set(np.argsort(-pq.scores(codes, q, metric))[:60])) for i, q in enumerate(queries)]) >= 7
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_bounded_queries_recall(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").cast("string").alias(PK), F.col("embedding").alias("v")).cache()
+    found = rows.collect()
+    x, at = np.array([r.v for r in found], np.float64), {r[PK]: i for i, r in enumerate(found)}
+    probes = [k for k in at if int(k) % 100 == 0]
+    for name, kind, params, controls in collection_queries.BOUNDED:
+        index, store = IndexParams(kind, params), Store(spark, str(tmp_path / name))
+        ann.build(store, "index", rows, index)
+        near = [ann.candidates(ann.load(store, "index"), index, x[at[k]], index["metric"], 10, controls, None).select(F.lit(k).alias("probe"), PK) for k in probes]
+        held = {k: set() for k in probes}
+        for r in functools.reduce(lambda a, b: a.union(b), near).collect():
+            held[r.probe].add(at[r[PK]])
+        hits = 0
+        for k in probes:  # the probe itself does not count
+            best = [i for i in np.argsort(-quantize.metric_scores(x, x[at[k]], index["metric"]), kind="stable") if i != at[k]]
+            hits += len(set(best[:10]) & held[k])
+        assert hits >= 9 * len(probes), (name, hits / 10 / len(probes))
+
+
 def plain(rows, columns):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     value = lambda v: round(v, 5) + 0.0 if isinstance(v, float) else v
