@@ -70,12 +70,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def words(text: Column) -> Column:
-    """The words of ``text`` as an array; null or blank text has none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE_RUN}|{SPACE_RUN}$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
-
-
 def salt_of(key: Column, ways: int) -> Column:
     """A salt that depends on the row alone, so a recomputed task deals it out alike."""
     return F.pmod(F.xxhash64(key), F.lit(ways)).cast("int")

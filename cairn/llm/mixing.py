@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import WORD, packed, saved, unpacked, words
+from cairn.llm.common import SPACE_RUN, WORD, packed, saved, unpacked
 
 #: Words of one block; production sequences are longer, at the price of coarser targets.
 BLOCK_WORDS = 64
@@ -29,6 +29,9 @@ SHARE, CAP, WEIGHTS = 1.5, 2, (5, 2, 1)
 #: Chunks that a source's ids are dealt to for prefix sums, and slots generated by one row.
 CHUNKS, SPREAD = 4096, 16_384
 
+#: A word with the white space after it; the first one also has what stands before it.
+_SPACED = rf"(?:^{SPACE_RUN})?{WORD}(?:{SPACE_RUN})?"
+
 # Fixed values of the pseudorandom functions: a prime modulus, multipliers, and odd multipliers.
 _P, _A, _B, _C = 2147483647, 48271, 69621, 668265263
 _ODD = (614657, 876499, 943591)
@@ -156,8 +159,10 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The mix as documents: the columns of ``docs``, the text cut down to the words that the mix
-    takes (those of a second pass again after those of the first), n_chars its length. Rows of which
-    nothing is taken go, and so do rows without words: the mix holds none of them."""
+    takes (those of a second pass again after those of the first), n_chars its length. Words keep the
+    white space after them, the first of a text also what stands before it, so a text taken whole is
+    unchanged; passes are parted by a space where none is. Rows of which nothing is taken go, and so
+    do rows without words: the mix holds none of them."""
     sizes = saved(sized(docs), "sizes")
     targets = saved(source_targets(sizes, block_words=block_words), "targets")
     pieces = _pieces(placed(sizes).join(targets, "sk"), targets, block_words).where("times > 0")
@@ -173,11 +178,12 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     })
     turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
     met = keyed.join(same, keys).withColumn("_turn", turn).where(F.col("_turn") <= F.size("_rows"))
-    met = met.withColumns({"_parts": F.element_at("_rows", F.col("_turn"))["parts"], "_words": words(row["text"])})
-    piece = lambda p: F.array_join(F.slice("_words", (p["lo"] + 1).cast("int"), p["len"].cast("int")), " ")
+    met = met.withColumns({"_parts": F.element_at("_rows", F.col("_turn"))["parts"], "_words": F.regexp_extract_all(row["text"], F.lit(_SPACED), F.lit(0))})
+    piece = lambda p: F.array_join(F.slice("_words", (p["lo"] + 1).cast("int"), p["len"].cast("int")), "")
     in_pass = lambda t: lambda p: p["times"] >= t
-    passes = [F.transform(F.filter("_parts", in_pass(t)), piece) for t in range(1, CAP + 1)]
-    met = met.withColumn("_text", F.array_join(F.concat(*passes), " "))
+    passes = F.array(*(F.array_join(F.transform(F.filter("_parts", in_pass(t)), piece), "") for t in range(1, CAP + 1)))
+    apart = lambda a, b: F.concat(a, F.when((a != "") & (b != "") & ~a.rlike(rf"{SPACE_RUN}\z") & ~b.rlike(rf"\A{SPACE_RUN}"), " ").otherwise(""), b)
+    met = met.withColumn("_text", F.reduce(passes, F.lit(""), apart))
     replaced = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
         replaced["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)

@@ -102,6 +102,22 @@ def test_mixing(docs, rows):
             assert all(n <= 2 * words[r.doc_id][w] for w, n in Counter(r.text.split()).items())
 
 
+def test_mixing_keeps_white_space(spark):
+    rng = random.Random(8)
+    spaced = lambda n: "".join(w + rng.choice([" ", "\n", "\t", "  ", "\n\n    ", "\r\n"]) for w in sentence(rng, n).split())
+    texts = [spaced(rng.randint(1, 30)) for _ in range(40)]
+    texts = [("\n\t" if i % 5 == 0 else "") + (t if i % 3 else t.rstrip()) for i, t in enumerate(texts)]
+    got = mixing.mix_documents(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), block_words=4).collect()
+    assert len(got) == len(texts)
+    for r in got:  # of a single source the first pass takes every word, the second some blocks again
+        text = texts[r.doc_id]
+        assert r.text.startswith(text) and r.n_chars == len(r.text)
+        again = r.text[len(text) :]
+        assert not again or text[-1].isspace() or again[0].isspace()
+        left = iter(re.findall(r"\S+\s*", text))
+        assert all(any(w in (x, x.rstrip()) for x in left) for w in re.findall(r"\S+\s*", again))
+
+
 def test_permutations_are_permutations(spark):
     for blocks in (1, 2, 3, 7, 64, 100, 1000):
         sources = spark.createDataFrame([(3, blocks)], "rank long, blocks long")
