@@ -75,6 +75,13 @@ def salt_of(key: Column, ways: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(ways)).cast("int")
 
 
+def dealt_back(rows: DataFrame, keys: list[str], first: dict[str, Column], then: dict[str, Column]) -> DataFrame:
+    """Aggregates of ``rows`` by ``keys``, gathered over their column salt (``first`` within a salt,
+    ``then`` over salts), with a row for each salt in use: joined by keys and salt, no key meets in one task."""
+    by_salt = rows.groupBy(*keys, "salt").agg(*(c.alias(k) for k, c in first.items()))
+    return by_salt.groupBy(*keys).agg(*(c.alias(k) for k, c in then.items()), F.collect_set("salt").alias("salts")).withColumn("salt", F.explode("salts")).drop("salts")
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as one struct, _row: no column of theirs can clash with one of ours."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))

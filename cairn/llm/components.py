@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import saved
+from cairn.llm.common import dealt_back, salt_of, saved
+
+SALTS = 64
 
 
 def _step(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step on edges (u, v), u > v: links to the smallest neighbour, kept as u > v."""
+    """One star step on edges (u, v), u > v: links to the smallest neighbour, kept as u > v. The links of
+    a hub are dealt to salts, so they never meet in one task."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    linked = both.join(least, "u")
-    out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    both = both.withColumn("salt", salt_of(F.col("v"), SALTS))
+    least = dealt_back(both, ["u"], {"m": F.min("v")}, {"m": F.least(F.col("u"), F.min("m"))})
+    linked = both.join(least, ["u", "salt"])
+    if large:
+        out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 

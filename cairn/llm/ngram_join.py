@@ -3,23 +3,28 @@
 Documents link when 100 * |A and B| >= ``percent`` * |A or B| over their sets of ``words``-word
 shingles (tokens). Exact, and without all pairs of any group:
 
-1. Tokens are dealt by hash to buckets in packed blocks (``TOKEN_BYTES`` of a token's hash and a short
-   document number), and a bucket returns the tokens that more than one document has, with a
-   code that grows with their number of documents. A linked document shares ``percent`` of its tokens,
-   so a document with fewer shared tokens links with nothing and is done. This drops most documents,
-   whatever boilerplate they hold. Equal sets are one class from here on.
+1. Every stretch of text sends its distinct tokens, dealt by hash to buckets in packed blocks, and a
+   bucket returns those that more than one document has, with a code that grows with their number. A
+   token that all documents hold reaches its bucket once a stretch. A linked document shares
+   ``percent`` of its tokens, so a document with fewer shared tokens links with nothing and is done.
+   This drops most documents, whatever boilerplate they hold. Equal sets are one class from here on,
+   and classes are numbered, so ids that repeat or are null name nothing.
 2. A class is indexed under its prefix, rare tokens first: two linked classes share a token among
    their first n - ceil(percent * n) + 1, and as their first common one it bounds how large the other may
    be. Within each token every class is compared with ``CENTRES`` classes only. Verified links make
-   the groups.
-3. The token-group matrix has a row for each token and group that a member's token set holds: the
-   group's token union. A class and another group with a common prefix token are a candidate; the
-   group is opened only if its union holds ``percent`` of the class's tokens, and the other way round.
-   Then the class meets those members with which it shares a prefix token. Groups are connected
-   already, so nothing inside a group is compared again, and no link between groups is lost.
-
-Hashes are 64 bits, 40 of them beyond step 1: two unequal shingles of one pair of 500-word documents
-are taken for equal with probability 3e-7, which matters only to pairs on the very threshold.
+   components.
+3. Classes are partitioned into groups of similar ones: the classes of a component, or those without a
+   link that share the smallest token hash of their sets (equal with the probability of their
+   similarity). Groups are split where their sets hold more than ``GROUP_TOKENS``. The token-group
+   matrix has a row for each token of a group's union, with the members that hold it. A class asks a
+   group when a prefix token of both allows a link and the group has another component. The overlap with
+   the group's union bounds every member's; only a group whose union holds enough is opened, and the
+   rows of the class's tokens then give the exact overlap with each member. What a group finds leaves as
+   a forest, not as pairs. No link between components is lost.
+
+Hashes are 64 bits in a set and 48 (``TOKEN_BYTES``) between sets: two unequal shingles of one pair of
+500-word documents are taken for equal with probability 1e-9, which matters only to pairs on the very
+threshold, and among 10**13 distinct tokens one in thirty looks shared though it is not.
 """
 
 from __future__ import annotations
@@ -34,30 +39,33 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import lean, packed, partitions, salt_of, saved, small_batches, unpacked
+from cairn.llm.common import dealt_back, lean, packed, partitions, salt_of, saved, small_batches, unpacked
 from cairn.llm.components import connected
 from cairn.llm.sentencepiece_codec import _one, stretches
 
 WORDS, PERCENT = 5, 80
-#: Bytes of a token's hash beyond the first step; 6 from some 10**11 tokens on.
-TOKEN_BYTES = 5
+#: Bytes of a token's hash beyond a document's own set.
+TOKEN_BYTES = 6
 SALTS = 64
-#: Bytes of text whose tokens are packed together.
-STRETCH = 4 << 20
-#: Centres of a token: the smallest id, the least share of own tokens, and pseudorandom ones.
+#: Bytes of text whose tokens are packed together, and tokens that a bucket counts at a time.
+STRETCH, COUNTED = 4 << 20, 1 << 21
+#: Centres of a token: the smallest number, the least share of own tokens, and pseudorandom ones.
 CENTRES = 8
+#: Tokens of a group's members, and of the classes that ask it, in one row.
+GROUP_TOKENS = 1 << 15
 
 _NO_ID = (1 << 63) - 1
 _INFO = np.dtype([("id", "<i8"), ("th", "<i8"), ("n", "<i8"), ("cls", "V16")])
-_PACKED = "bucket int, stretch long, part int, tokens binary, of binary, codes binary"
-_SETS = "id long, th long, n long, cls binary, tokens binary, codes binary"
+_PACKED = "bucket int, stretch long, size int, tokens binary, extra binary, codes binary"
+_SETS = "id long, th long, n long, cls binary, home long, tokens binary, codes binary"
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     """Each text's sorted distinct 64-bit shingle hashes: A-Z in lower case, words between white space;
     a text of fewer words is one shingle; one without words (or null) has none."""
-    plain = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    # Lower case comes before the cast: Arrow 23 reads a slice that was cast from a wrong offset.
+    plain = pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string())
     cut = pc.ascii_split_whitespace(plain)
     coded = cut.values.dictionary_encode()
     hashes = np.array([xxhash.xxh64_intdigest(w) if w else 0 for w in coded.dictionary.to_pylist()], np.uint64)
@@ -103,7 +111,8 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _packer(buckets: int, words: int):
-    """Blocks of tokens by bucket, and one block (part 0) with what the stretch's documents are."""
+    """Of every stretch its distinct tokens by bucket, with their number of documents there, and one
+    row (size 0) with what its documents are and which document has which of the tokens, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in stretches(batches, 2, STRETCH):
@@ -119,85 +128,105 @@ def _packer(buckets: int, words: int):
                 for i, mark in enumerate(marks):
                     first.setdefault(mark, i)
                 own = [i for i in first.values() if len(sets[i])]
-                out = [(name % buckets, name, 0, info.tobytes(), b"", b"")]
-                if own:
-                    tokens = np.concatenate([sets[i] for i in own]) >> np.uint64(64 - 8 * TOKEN_BYTES)
-                    of = np.repeat(np.array(own, "<u2"), [len(sets[i]) for i in own])
-                    bucket = (tokens * np.uint64(buckets) >> np.uint64(8 * TOKEN_BYTES)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
-                    order = np.argsort(bucket, kind="stable")
-                    bucket, tokens, of = bucket[order], tokens[order], of[order]
-                    edges = np.flatnonzero(np.diff(bucket)) + 1
-                    for a, b in zip([0, *edges], [*edges, len(bucket)], strict=True):
-                        out.append((int(bucket[a]), name, 1, _bytes_of(tokens[a:b]), of[a:b].tobytes(), b""))
+                tokens = np.concatenate([np.empty(0, np.uint64), *(sets[i] for i in own)]) >> np.uint64(64 - 8 * TOKEN_BYTES)
+                of = np.repeat(np.array(own, "<u2"), [len(sets[i]) for i in own])
+                order = np.argsort(tokens, kind="stable")
+                starts = _starts(tokens[order])
+                distinct, times = tokens[order][starts], np.diff(np.append(starts, len(tokens)))
+                out = [(name % buckets, name, 0, info.tobytes(), of[order].tobytes(), times.astype("<u4").tobytes())]
+                bucket = distinct * np.uint64(buckets) >> np.uint64(8 * TOKEN_BYTES)
+                edges = _starts(bucket)
+                for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
+                    out.append((int(bucket[a]), name, int(b - a), _bytes_of(distinct[a:b]), np.minimum(times[a:b], 255).astype(np.uint8).tobytes(), b""))
                 yield _batch(out, _PACKED)
 
     return run
 
 
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
+
+
 def _sharer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block the tokens that another document has too, with their frequency codes."""
+    """Of each block the tokens that another document has too: the tokens, a mask of them within the
+    block, and their frequency codes. A bucket is held packed and counted ``COUNTED`` tokens at a time."""
     blocks = []
     for batch in batches:
-        for bucket, name, part, tokens, of, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if part == 0:
-                yield _batch([(bucket, name, 0, tokens, b"", b"")], _PACKED)
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[2] == 0:
+                yield _batch([row], _PACKED)
             else:
-                blocks.append((bucket, name, _tokens_of(tokens), np.frombuffer(of, "<u2")))
+                blocks.append(row)
     if not blocks:
         return
-    ends = np.cumsum([0, *(len(b[2]) for b in blocks)])
-    tokens = np.concatenate([b[2] for b in blocks])
-    order = np.argsort(tokens, kind="stable")
-    ranked = tokens[order]
-    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    sizes = np.diff(np.append(starts, len(ranked)))
-    count = np.empty(len(tokens), np.int64)
-    count[order] = np.repeat(sizes, sizes)
-    code = np.minimum(255, np.round(8 * np.log2(count))).astype(np.uint8)
-    for (bucket, name, own, of), a, b in zip(blocks, ends[:-1], ends[1:], strict=True):
-        if (shared := count[a:b] > 1).any():
-            yield _batch([(bucket, name, 1, _bytes_of(own[shared]), of[shared].tobytes(), code[a:b][shared].tobytes())], _PACKED)
+    turns = -(-sum(b[2] for b in blocks) // COUNTED)
+    lo, hi = min(int(_tokens_of(b[3][:TOKEN_BYTES])[0]) for b in blocks), max(int(_tokens_of(b[3][-TOKEN_BYTES:])[0]) for b in blocks)
+    bounds = np.array([lo + (hi + 1 - lo) * t // turns for t in range(1, turns)], np.uint64)
+    cuts = [[0, *np.searchsorted(_tokens_of(b[3]), bounds), b[2]] for b in blocks]
+    codes = [np.zeros(b[2], np.uint8) for b in blocks]
+    for t in range(turns):
+        tokens = np.concatenate([_tokens_of(b[3][TOKEN_BYTES * c[t] : TOKEN_BYTES * c[t + 1]]) for b, c in zip(blocks, cuts, strict=True)])
+        times = np.concatenate([np.frombuffer(b[4][c[t] : c[t + 1]], np.uint8) for b, c in zip(blocks, cuts, strict=True)])
+        if not len(tokens):
+            continue
+        order = np.argsort(tokens, kind="stable")
+        starts = _starts(tokens[order])
+        total = np.add.reduceat(times[order].astype(np.int64), starts)
+        code = np.empty(len(tokens), np.uint8)
+        code[order] = np.repeat(np.minimum(255, np.round(8 * np.log2(total))).astype(np.uint8), np.diff(np.append(starts, len(tokens))))
+        at = 0
+        for own, c in zip(codes, cuts, strict=True):
+            own[c[t] : c[t + 1]] = code[at : at + c[t + 1] - c[t]]
+            at += c[t + 1] - c[t]
+    for (bucket, name, size, data, _, _), own in zip(blocks, codes, strict=True):
+        mask = own > 0
+        yield _batch([(bucket, name, size, _bytes_of(_tokens_of(data)[mask]), np.packbits(mask).tobytes(), own[mask].tobytes())], _PACKED)
 
 
 def _gatherer(percent: int):
     """A row for each document; those that can link have their shared tokens, in order, and codes."""
 
-    def close(info: np.ndarray, parts: list[tuple]) -> pa.RecordBatch:
-        rows: list[tuple] = [(int(r["id"]), int(r["th"]), int(r["n"]), r["cls"].tobytes(), None, None) for r in info]
-        if parts:
-            tokens, of, codes = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            order = np.lexsort((tokens, of))
-            tokens, of, codes = tokens[order], of[order], codes[order]
-            once = np.concatenate([[True], (of[1:] != of[:-1]) | (tokens[1:] != tokens[:-1])])
-            tokens, of, codes = tokens[once], of[once], codes[once]
-            edges = np.flatnonzero(np.diff(of)) + 1
-            for a, b in zip([0, *edges], [*edges, len(of)], strict=True):
+    def close(own: list[tuple], answers: dict[int, tuple]) -> pa.RecordBatch:
+        # Equal stretches have one name and one content: each gets its rows, and one set of answers.
+        info, of, times = np.frombuffer(own[0][0], _INFO), np.frombuffer(own[0][1], "<u2"), np.frombuffer(own[0][2], "<u4")
+        rows: list[tuple] = [(int(r["id"]), int(r["th"]), int(r["n"]), r["cls"].tobytes(), None, None, None) for r in info]
+        if answers:
+            by_token = [answers[b] for b in sorted(answers)]
+            mask = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for n, _, m, _ in by_token]).astype(bool)
+            tokens, codes = np.concatenate([_tokens_of(t) for _, t, _, _ in by_token]), np.concatenate([np.frombuffer(c, np.uint8) for _, _, _, c in by_token])
+            of, which = of[np.repeat(mask, times)], np.repeat(np.arange(len(tokens)), times[mask])
+            order = np.argsort(of, kind="stable")
+            of, which = of[order], which[order]
+            edges = _starts(of)
+            for a, b in zip(edges, np.append(edges[1:], len(of)), strict=True):
                 row = rows[of[a]]
                 if b - a >= _needed(row[2], percent):
-                    rows[of[a]] = (*row[:4], _bytes_of(tokens[a:b]), codes[a:b].tobytes())
-        return _batch(rows, _SETS)
+                    mine = which[a:b]
+                    rows[of[a]] = (*row[:4], int(tokens[mine[0]]), _bytes_of(tokens[mine]), codes[mine].tobytes())
+        return _batch(rows * len(own), _SETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, info, parts = None, [], []
+        now, own, answers = None, [], {}
         for batch in batches:
-            for _, name, part, tokens, of, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, name, size, tokens, extra, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if name != now:
-                    for x in info:
-                        yield close(x, parts)
-                    now, info, parts = name, [], []
-                if part == 0:
-                    # Equal stretches have one name: each gets its rows, and ``close`` counts their tokens once.
-                    info.append(np.frombuffer(tokens, _INFO))
+                    if own:
+                        yield close(own, answers)
+                    now, own, answers = name, [], {}
+                if size == 0:
+                    own.append((tokens, extra, codes))
                 else:
-                    parts.append((_tokens_of(tokens), np.frombuffer(of, "<u2"), np.frombuffer(codes, np.uint8)))
-        for x in info:
-            yield close(x, parts)
+                    answers[bucket] = (size, tokens, extra, codes)
+        if own:
+            yield close(own, answers)
 
     return run
 
 
 def token_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """id, th, n, cls (a digest of the set) of every row, and the shared tokens of those that can link."""
+    """id, th, n, cls (a digest of the set) of every row, and of those that can link the shared tokens,
+    their codes and home, the smallest of them."""
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions(spark)
@@ -260,91 +289,154 @@ def _to_centres(postings: DataFrame, percent: int) -> DataFrame:
     dealt = postings.withColumn("salt", salt_of(F.col("id"), SALTS))
     orders = [F.lit(0).cast("long"), F.col("own"), *(F.xxhash64("id", F.lit(r)) for r in range(CENTRES - 2))]
     names = [f"c{i}" for i in range(CENTRES)]
-    by_salt = dealt.groupBy("token", "salt").agg(*(F.min(F.struct(o.alias("o"), "id", "n", "cap")).alias(c) for o, c in zip(orders, names, strict=True)))
-    top = by_salt.groupBy("token").agg(*(F.min(c).alias(c) for c in names), F.collect_set("salt").alias("salts"))
-    near = dealt.join(top.withColumn("salt", F.explode("salts")).drop("salts"), ["token", "salt"])
+    top = dealt_back(dealt, ["token"], {c: F.min(F.struct(o.alias("o"), "id", "n", "cap")) for o, c in zip(orders, names, strict=True)}, {c: F.min(c) for c in names})
+    near = dealt.join(top, ["token", "salt"])
     pairs = near.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("cap").alias("cu"), F.explode(F.array_distinct(F.array(*(F.struct(F.col(c)["id"].alias("v"), F.col(c)["n"].alias("nv"), F.col(c)["cap"].alias("cv")) for c in names)))).alias("p"))
     return pairs.select("u", "nu", "cu", "p.*").where("u <> v").where(_first_common(percent)).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _exploded(classes: DataFrame) -> DataFrame:
-    """(id, n, token) of all shared tokens of the given classes."""
+def _grouped(classes: DataFrame, components: DataFrame) -> DataFrame:
+    """``classes`` with component (their own number, if they have no link) and group: a key (home or
+    component), and a part of it where the key's sets hold more than ``GROUP_TOKENS``."""
+    known = classes.join(components.withColumnRenamed("node", "id"), "id", "left")
+    linked = F.col("component").isNotNull()
+    keyed = known.withColumns({"kind": linked, "key": F.coalesce("component", "home"), "component": F.coalesce("component", "id")})
+    parts = dealt_back(keyed.withColumn("salt", salt_of(F.col("id"), SALTS)), ["kind", "key"], {"size": F.sum(F.length("codes").cast("long"))}, {"size": F.sum("size")})
+    dealt = keyed.withColumn("salt", salt_of(F.col("id"), SALTS)).join(parts, ["kind", "key", "salt"])
+    part = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("size") / GROUP_TOKENS))
+    return dealt.withColumn("group", F.struct("kind", "key", part.alias("part"))).select("id", "n", F.length("codes").cast("long").alias("size"), "tokens", "component", "group")
+
+
+def _asked(postings: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
+    """(id, group): the groups that a class may link with by a prefix token of both, where the group has
+    a component other than the class's."""
+    known = postings.join(grouped.select("id", "component", "group"), "id").withColumn("salt", salt_of(F.col("id"), SALTS))
+    entries = known.groupBy("token", "group").agg(F.min("n").alias("small"), F.max("n").alias("large"), F.max("cap").alias("top"), F.min("component").alias("from"), F.max("component").alias("to"))
+    mixed = dealt_back(known, ["token"], {"least": F.min("component"), "most": F.max("component")}, {"least": F.min("least"), "most": F.max("most")}).where("least <> most")
+    index = entries.join(mixed.select("token", "salt"), "token")
+    other = (F.col("from") != F.col("to")) | (F.col("from") != F.col("component"))
+    fits = (F.col("large") * 100 >= F.col("n") * percent) & (F.col("small") * percent <= F.col("n") * 100) & (F.col("small") <= F.col("cap")) & (F.col("n") <= F.col("top"))
+    return known.select("token", "salt", "id", "n", "cap", "component").join(index, ["token", "salt"]).where(other & fits).select("id", "group").distinct()
+
+
+class GroupMatrix:
+    """The matrix of one group: its tokens, and the members that hold each."""
+
+    def __init__(self, members: list[dict]) -> None:
+        self.ids = [m["id"] for m in members]
+        self.components = np.array([m["component"] for m in members])
+        self.sizes = np.array([m["n"] for m in members])
+        sets = [_tokens_of(m["tokens"]) for m in members]
+        tokens, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(tokens, kind="stable")
+        self._of, starts = of[order], _starts(tokens[order])
+        self.union, self._starts, self._counts = tokens[order][starts], starts, np.diff(np.append(starts, len(tokens)))
+
+    def linked(self, n: int, tokens: np.ndarray, component: int, percent: int) -> np.ndarray:
+        """The members of other components that link with a class of n tokens."""
+        at = np.searchsorted(self.union, tokens)
+        at = at[self.union[np.minimum(at, len(self.union) - 1)] == tokens]
+        # A link with m tokens asks for percent * (n + m) / (100 + percent) common ones, and m is at least the
+        # smallest member's and percent of n.
+        if len(at) * (100 + percent) * 100 < percent * (n * 100 + max(n * percent, int(self.sizes.min()) * 100)):
+            return np.empty(0, np.int64)
+        counts = self._counts[at]
+        rows = np.repeat(self._starts[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        both = np.bincount(self._of[rows], minlength=len(self.ids))
+        return np.flatnonzero((100 * both >= percent * (n + self.sizes - both)) & (self.components != component))
+
+
+def _opener(percent: int):
+    """Links of each row's asking classes with its group's members, as a forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ns, data = (c.to_pylist() for c in batch.columns)
-            sets = [_tokens_of(d) for d in data]
-            size = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), size)), pa.array(np.repeat(np.array(ns, np.int64), size)), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).astype(np.int64))], ["id", "n", "token"])
+            u, v = [], []
+            for members, asking in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                matrix, root = GroupMatrix(members), {}
+
+                def top(x: int, root: dict[int, int] = root) -> int:
+                    while root.get(x, x) != x:
+                        root[x] = x = root.get(root[x], root[x])
+                    return x
+
+                for q in asking:
+                    for i in matrix.linked(q["n"], _tokens_of(q["tokens"]), q["component"], percent):
+                        a, b = top(q["component"]), top(int(matrix.components[i]))
+                        if a != b:
+                            root[a] = b
+                            u.append(q["id"])
+                            v.append(matrix.ids[i])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return classes.select("id", "n", "tokens").mapInArrow(lean(run), "id long, n long, token long")
+    return run
 
 
-def _across_groups(postings: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame | None:
-    """Links between groups, by the token-group matrix; None where no token is in two groups."""
-    grouped = postings.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("g", F.coalesce("component", "id")).drop("component", "own")
-    mixed = grouped.groupBy("token").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least <> most").select("token")
-    shared = saved(grouped.join(mixed, "token", "left_semi"), "mixed")
-    if shared.isEmpty():
+def _across_groups(postings: DataFrame, classes: DataFrame, components: DataFrame, percent: int) -> DataFrame | None:
+    """Links between components, by the token-group matrix, as a forest of each of its rows; None where
+    no class asks a group."""
+    grouped = saved(_grouped(classes, components), "grouped")
+    asked = saved(_asked(postings, grouped, percent), "asked")
+    if asked.isEmpty():
         return None
-    index = shared.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("small"), F.max("n").alias("large"), F.max("cap").alias("top"))
-    fits = (F.col("large") * 100 >= F.col("n") * percent) & (F.col("small") * percent <= F.col("n") * 100) & (F.col("small") <= F.col("cap")) & (F.col("n") <= F.col("top"))
-    asked = saved(shared.join(index, "token").where((F.col("g") != F.col("h")) & fits).select("id", "g", "h").distinct(), "asked")
-    # The matrix: the token unions of the groups that are asked for.
-    members = classes.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("h", F.coalesce("component", "id"))
-    wanted = members.join(asked.select("h").distinct(), "h", "left_semi")
-    matrix = _exploded(wanted).join(wanted.select("id", "h"), "id").select("token", "h").distinct()
-    tokens = _exploded(classes.join(asked.select("id").distinct(), "id", "left_semi"))
-    overlap = asked.join(tokens, "id").join(matrix, ["token", "h"]).groupBy("id", "g", "h", "n").agg(F.count("*").alias("k"))
-    # A link with a member of m tokens asks for percent * (n + m) / (100 + percent) common ones, and m is
-    # the group's smallest set or more: for a group of one class the bound is the link itself.
-    sizes = wanted.groupBy("h").agg(F.min("n").alias("small"))
-    least = F.greatest(F.col("n") * percent, F.col("small") * 100)
-    enough = F.col("k") * (100 + percent) * 100 >= percent * (F.col("n") * 100 + least)
-    opened = saved(overlap.join(sizes, "h").where(enough).select("id", "g", "h"), "opened")
-    # Both classes of a link open each other's group.
-    left = shared.join(opened, ["id", "g"]).select("token", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("cap").alias("cu"), "g", "h")
-    right = left.select("token", F.col("u").alias("v"), F.col("nu").alias("nv"), F.col("cu").alias("cv"), F.col("h").alias("g"), F.col("g").alias("h"))
-    pairs = left.join(right, ["token", "g", "h"]).where("u < v").where(_first_common(percent)).select("u", "v").distinct()
-    return _verified(pairs, classes, percent)
+    # The classes that ask a group meet it in packs of bounded size.
+    sized = asked.join(grouped.select("id", "size"), "id").withColumn("salt", salt_of(F.col("id"), SALTS))
+    packs = dealt_back(sized, ["group"], {"size": F.sum("size")}, {"size": F.sum("size")}).withColumn("packs", F.ceil(F.col("size") / GROUP_TOKENS))
+    dealt = sized.join(packs.drop("size"), ["group", "salt"]).select("group", "id", F.pmod(F.xxhash64("id", F.lit(2)), F.col("packs")).alias("pack"))
+    one = F.struct("id", "n", "component", "tokens")
+    asking = dealt.join(grouped.drop("group"), "id").groupBy("group", "pack").agg(F.collect_list(one).alias("asking"))
+    members = grouped.groupBy("group").agg(F.collect_list(one).alias("members")).join(packs.select("group", "packs").distinct(), "group")
+    rows = members.withColumn("pack", F.explode(F.sequence(F.lit(0).cast("long"), F.col("packs") - 1))).join(asking, ["group", "pack"])
+    return rows.select("members", "asking").mapInArrow(lean(_opener(percent)), "u long, v long")
+
+
+def _found(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """id, th, n, component (a number; null without shingles) and least (its smallest id) of every row."""
+    sets = token_sets(docs, words, percent)
+    salted = sets.withColumn("salt", salt_of(F.struct("id", "th"), SALTS))
+    by_salt = salted.where("n > 0").groupBy("cls", "salt").agg(F.min("id").alias("least"))
+    # The numbers are fixed by being written.
+    classed = by_salt.groupBy("cls").agg(F.min("least").alias("least"), F.collect_set("salt").alias("salts"))
+    numbered = saved(classed.withColumn("number", F.monotonically_increasing_id()), "classes")
+    held = sets.where("tokens IS NOT NULL").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "home", "tokens", "codes")))
+    classes = saved(held.join(numbered, "cls").select(F.col("number").alias("id"), "n", "home", "tokens", "codes"), "held")
+    prefixes = classes.select("id", "n", "tokens", "codes").mapInArrow(lean(_prefixes(percent)), "token long, id long, n long, own long, cap long")
+    postings = saved(prefixes, "postings")
+    links = saved(_verified(_to_centres(postings, percent), classes, percent), "links")
+    components = connected(links)
+    across = _across_groups(postings, classes, components, percent)
+    if across is not None:
+        components = connected(links.union(across))
+    known = numbered.join(components.withColumnRenamed("node", "number"), "number", "left").withColumn("component", F.coalesce("component", "number"))
+    known = known.select("cls", "salts", "component", F.col("least").alias("of_class"), salt_of(F.col("number"), SALTS).alias("salt"))
+    least = dealt_back(known, ["component"], {"least": F.min("of_class")}, {"least": F.min("least")})
+    labelled = known.join(least, ["component", "salt"]).select("cls", "component", "least", F.explode("salts").alias("salt"))
+    return salted.join(labelled, ["cls", "salt"], "left").select("id", "th", "n", "component", F.coalesce("least", "id").alias("least"))
+
+
+def _real(id_: Column) -> Column:
+    return F.when(id_ != _NO_ID, id_)
 
 
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, th (a hash of its text), n_shingles, component_id.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Null and empty texts, and texts without words, have no shingles and are components of their own.
     Rows that repeat an id or a text are documents of their own (equal texts link). A null id counts
-    as the largest: its component_id is null unless it links with a row that has an id. An empty
-    table gives no rows; other columns are ignored.
+    as the largest: its component_id is null unless it links with a row that has an id. Ties between
+    equally frequent tokens fall by hash and change no link. An empty table gives no rows; other columns
+    are ignored.
     """
-    sets = token_sets(docs, words, percent)
-    salted = sets.withColumn("salt", salt_of(F.col("id"), SALTS))
-    by_salt = salted.where("n > 0").groupBy("cls", "salt").agg(F.min("id").alias("least"))
-    ids = saved(by_salt.groupBy("cls").agg(F.min("least").alias("class_id"), F.collect_set("salt").alias("salts")), "classes")
-    held = sets.where("tokens IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("codes").alias("codes"))
-    classes = saved(held.join(ids, "cls").select(F.col("class_id").alias("id"), "n", "tokens", "codes"), "held")
-    prefixes = classes.select("id", "n", "tokens", "codes").mapInArrow(lean(_prefixes(percent)), "token long, id long, n long, own long, cap long")
-    postings = saved(prefixes, "postings")
-    links = saved(_verified(_to_centres(postings, percent), classes, percent), "links")
-    groups = connected(links)
-    across = _across_groups(postings, classes, groups, percent)
-    if across is not None:
-        groups = connected(links.union(across))
-    labelled = ids.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left").select("cls", F.coalesce("component", "class_id").alias("component"), F.explode("salts").alias("salt"))
-    out = salted.join(labelled, ["cls", "salt"], "left")
-    real = lambda c: F.when(c != _NO_ID, c)
-    return out.select(real(F.col("id")).alias("doc_id"), "th", F.col("n").alias("n_shingles"), real(F.coalesce("component", "id")).alias("component_id"))
+    found = _found(docs, words, percent)
+    return found.select(_real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), _real(F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, unchanged, that stay when each component keeps the row with the smallest
     doc_id (null last; then by a hash of the text; of equal rows one). Rows without shingles stay."""
-    found = link_components(docs, words, percent)
-    full = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.col("th").alias("_th"))
-    # A component whose rows have no id is told apart from others by its rows' text hash.
-    part = F.coalesce("component_id", F.col("th"))
-    best = found.where("n_shingles > 0").groupBy(part.alias("part"), F.col("component_id").isNull()).agg(F.min(full).alias("k")).select("k.*", F.lit(True).alias("_one"))
-    empty = found.where("n_shingles = 0").select(full.alias("k")).distinct().select("k.*", F.lit(False).alias("_one"))
+    found = _found(docs, words, percent)
+    best = found.where("n > 0").groupBy("component").agg(F.min(F.struct(F.col("id").alias("_id"), F.col("th").alias("_th"))).alias("k")).select("k.*", F.lit(True).alias("_one"))
+    empty = found.where("n = 0").select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.lit(False).alias("_one")).distinct()
     keyed = packed(docs).withColumns({"_id": F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(_NO_ID)), "_th": F.xxhash64(F.coalesce("_row.text", F.lit("")))})
     kept = keyed.join(best.union(empty), ["_id", "_th"])
     turn = F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.lit(0)))

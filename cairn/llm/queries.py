@@ -50,7 +50,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.link_components(table(spark, sf_dir, "documents")).drop("th")
+    return ngram_join.link_components(table(spark, sf_dir, "documents"))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
