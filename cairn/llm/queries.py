@@ -123,19 +123,29 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM o LEF
 """
 
 
+def _units_sql() -> str:
+    """Tiles, their places and digests' stand-ins (the normalised text), runs of later ones, and the rest."""
+    pattern, space = unit_dedup.TILES["clause"], r"[\x20\x09-\x0D]"
+    return rf"""
+WITH u AS (SELECT doc_id, unnest(l) AS u, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') AS l FROM documents)),
+p AS (SELECT *, CAST(coalesce(sum(length(u)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a,
+  coalesce(count(*) FILTER (u LIKE '%' || chr(10)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line,
+  [x FOR x IN regexp_split_to_array(lower(u), '{space}+') IF x <> ''] AS w FROM u WHERE u <> ''),
+k AS (SELECT *, CASE WHEN len(w) >= {unit_dedup.UNIT_WORDS} THEN nullif(trim(array_to_string(w, ' '), '.,;:!?-*#|"''() '), '') END AS key FROM p),
+g AS (SELECT *, key IS NOT NULL AND row_number() OVER (PARTITION BY key ORDER BY doc_id, n) > 1 AS later, count(key) OVER (PARTITION BY doc_id ORDER BY n) AS unit FROM k),
+r AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id, later ORDER BY n) AS run FROM g),
+s AS (SELECT *, later AND sum(len(w)) OVER (PARTITION BY doc_id, later, run) >= {unit_dedup.MIN_WORDS} AS gone FROM r),
+t AS (SELECT *, bool_and(gone) OVER (PARTITION BY doc_id, line) AS all_gone FROM s)
+SELECT d.doc_id, CAST(count(t.n) FILTER (gone) AS INTEGER) AS n_removed,
+  coalesce(string_agg((a + length(regexp_extract(u, '^{space}*'))) || ':' || (a + length(regexp_replace(u, '{space}+$', ''))), ',' ORDER BY n) FILTER (gone), '') AS removed,
+  coalesce(string_agg(CASE WHEN NOT gone THEN u WHEN u LIKE '%' || chr(10) AND NOT all_gone THEN chr(10) ELSE '' END, '' ORDER BY n), '') AS text
+FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id GROUP BY d.doc_id
+"""
+
+
 ORACLE_SQL = {
     "op1_mixing": _mixing_sql(),
-    "op2_unit_dedup": r"""
-WITH u AS (SELECT doc_id, unnest(l) AS u, generate_subscripts(l, 1) AS n, len(l) AS c FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
-p AS (SELECT *, CAST(coalesce(sum(length(u) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a,
-  [x FOR x IN regexp_split_to_array(lower(u), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM u),
-k AS (SELECT *, CASE WHEN len(w) >= 20 THEN trim(array_to_string(w, ' '), '.,;:!?-*#|"''() ') END AS key FROM p),
-g AS (SELECT *, key IS NOT NULL AND row_number() OVER (PARTITION BY key ORDER BY doc_id, n) > 1 AS gone FROM k)
-SELECT doc_id, CAST(count(*) FILTER (gone) AS INTEGER) AS n_removed,
-  coalesce(string_agg(a || ':' || (a + length(u)), ',' ORDER BY n) FILTER (gone), '') AS removed,
-  coalesce(string_agg(u || CASE WHEN n < c THEN chr(10) ELSE '' END, '' ORDER BY n) FILTER (NOT gone), '') AS text
-FROM g GROUP BY doc_id
-""",
+    "op2_unit_dedup": _units_sql(),
     "op8_topk_search": """
 WITH s AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),

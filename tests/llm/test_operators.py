@@ -126,20 +126,79 @@ def test_permutations_are_permutations(spark):
         assert sorted(found[:blocks]) == sorted(found[blocks:]) == list(range(blocks))
 
 
+def plain_units(rows, min_words=unit_dedup.MIN_WORDS):
+    """(id, text) to removed places and the text left, one unit and one line after the other."""
+    first, out = {}, {}
+    for i, t in sorted({(i, t) for i, t, _ in rows}, key=lambda r: (r[0] is None, r[0])):
+        own = list(unit_dedup.units(t or ""))
+        later = [first.setdefault(d, (i, n)) != (i, n) for n, (_, _, _, d) in enumerate(own)]
+        gone, n = [], 0
+        while n < len(own):
+            m = n
+            while m < len(own) and later[m] == later[n]:
+                m += 1
+            if later[n] and sum(u[2] for u in own[n:m]) >= min_words:
+                gone += [u[:2] for u in own[n:m]]
+            n = m
+        left, at = [], 0
+        for line in (t or "").splitlines(keepends=True):
+            kept = list(line)
+            for a, b in gone:
+                if at <= a < at + len(line):
+                    kept[a - at : b - at] = [None] * (b - a)
+            # The white space after a unit goes with it, and that before the first of a line.
+            body = re.sub(r"(^[ \t]*)?\0+[ \t]*", "", "".join("\0" if c is None else c for c in kept))
+            left.append("" if None in kept and not body.strip("\n") else body)
+            at += len(line)
+        out[i, t] = gone, "".join(left)
+    return out
+
+
 def test_unit_dedup(docs, rows):
-    key = lambda i, t: (1 << 63 if i is None else i, t or "")
-    first = {}
-    ordered = sorted({(i, t) for i, t, _ in rows}, key=lambda r: key(*r))
-    for i, t in ordered:
-        for n, (a, b) in enumerate(unit_dedup.units(t or "")):
-            if d := unit_dedup.digest((t or "")[a:b]):
-                first.setdefault(d, (i, t, n))
-    for r in unit_dedup.dedup_units(docs).collect():
-        source = next(t for i, t, _ in rows if i == r.doc_id and (t == r.text or r.removed))
-        if r.doc_id is None or r.doc_id == 104:
-            continue
-        gone = [(a, b) for n, (a, b) in enumerate(unit_dedup.units(source or "")) if (d := unit_dedup.digest((source or "")[a:b])) and first[d] != (r.doc_id, source, n)]
-        assert [(x.start, x.end) for x in r.removed] == gone
+    plain = [r for r in rows if r[0] is not None or r[1] is None]  # the texts of null ids are ranked by a hash
+    expected = plain_units(plain)
+    got = unit_dedup.dedup_units(docs.where("doc_id IS NOT NULL OR text IS NULL")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _, _ in plain)
+    texts = {i: t for i, t, _ in plain}
+    assert sum(bool(r.removed) for r in got) > 12
+    for r in got:
+        gone, left = expected[r.doc_id, texts[r.doc_id]]
+        assert [(x.start, x.end) for x in r.removed] == gone and (r.text or "") == left and (r.text is None) == (texts[r.doc_id] is None)
+        assert all(x.keep_id <= r.doc_id for x in r.removed)
+
+
+def test_unit_dedup_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    text = sentence(rng, 40) + "."
+    got = unit_dedup.dedup_units(frame(spark, [(None, text, "s"), (None, text, "s"), (None, "x " + text + " y", "s"), (7, text, "s"), (7, text, "s"), (7, "a b. " + text, "s")])).collect()
+    left = Counter((r.doc_id, r.text) for r in got)
+    # Of one id the smallest text hash stays: one of the two texts of 7, and nothing of those without an id but what is theirs.
+    assert left[7, text] + 2 * left[7, "a b. " + text] in (2, 4) and sum(left.values()) == 6
+    assert left[None, ""] == 2 and (left[None, "x " + text + " y"] == 1)
+
+
+def test_unit_dedup_passages(spark):
+    """Passages of over 50 words are cut wherever their lines are broken; short repeats stay."""
+    rng = random.Random(77)
+    clause = lambda: sentence(rng, rng.randint(3, 9), [f"w{k}" for k in range(3000)]) + rng.choice(".,;:!?")
+    passage = [clause() for _ in range(12)]
+    wrap = lambda cs, each: "\n".join(" ".join(cs[k : k + each]) for k in range(0, len(cs), each))
+    docs = [(i, wrap([clause() for _ in range(6)] + passage + [clause() for _ in range(6)], 1 + i % 5), "s") for i in range(12)]
+    docs += [(50 + i, wrap([clause(), passage[i], clause(), clause()], 2), "s") for i in range(6)]
+    got = {r.doc_id: r for r in unit_dedup.dedup_units(frame(spark, docs)).collect()}
+    texts = {i: t for i, t, _ in docs}
+    assert got[0].text == texts[0] and all(got[i].text == texts[i] for i in range(50, 56))
+    for i in range(1, 12):
+        assert {texts[i][x.start : x.end] for x in got[i].removed} == set(passage) and len(got[i].text.split()) == len(texts[i].split()) - len(" ".join(passage).split())
+
+
+@pytest.mark.parametrize("kind", ["line", "paragraph", "clause"])
+def test_units_tile_the_text(kind):
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice(["ab", "c.", "d,", " ", "  ", "\n", "\n\n", "\t", "\r\n", "é!", "3.5", "\x0b"]) for _ in range(rng.randint(0, 40)))
+        spans = unit_dedup.tiles(text, kind)
+        assert "".join(text[a:b] for a, b in spans) == text and unit_dedup.without(text, set(), kind) == text
 
 
 def test_line_dedup(spark):
