@@ -1,39 +1,61 @@
 """Exact top-k inner-product search over a bit-sliced index.
 
 Method. Vectors become integers, and each dimension of a block of rows becomes bit slices: one
-bitmap over the block's rows per binary digit. A query adds the slices of all dimensions, weighted
+bitmap over the block's rows per binary digit. The slices are built once and stored, a row for each
+block; they take a byte or so a component. A query adds the slices of all dimensions, weighted
 by the digits of its own components, with carry-save adders on whole bitmaps; a negative component
 uses the complemented slices, which shifts every score by the same constant. The top rows are then
 selected from the most significant slice of the sum downward: rows certain to be in, and rows still
 level. Level rows left at the end have exactly equal scores, and the smallest ids are taken.
 
-Queries and rows meet in blocks: every block of rows joins every block of queries by the pair of
-their numbers, so no task holds more than one of each and no row meets a row outside its blocks.
+Stored blocks and blocks of queries meet by the pair of their numbers, so no task holds more than one
+of each and no row meets a row outside its blocks. A query block has up to ``QUERY_BLOCK`` queries (fewer
+only while there are fewer pairs than partitions), so that the copies of stored blocks stay far
+below the work of the search. Rows with a component beyond ``NARROW`` are kept beside the slices and
+multiplied with integers of any size.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from fractions import Fraction
+from math import floor
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.llm.common import partitions, saved
+
 #: Rows and queries of one block.
 ROW_BLOCK = 32_768
-QUERY_BLOCK = 256
+QUERY_BLOCK = 16_384
+#: Largest component of a row in the slices: products of two such rows of 32,768 dimensions fit 63 bits.
+NARROW = 1 << 24
 
-_HIT = "query_id long, vec_id long, score long"
+_HIT = "query_id long, vec_id long, score long, beyond binary"
+_INDEX = "rb long, d int, ids binary, low binary, digits int, slices binary, wide_ids binary, wide array<array<string>>"
+_LONG = (1 << 63) - 1
+#: Bytes of a score beyond 64 bits, as an ordered binary number: two doubles' product over any dimension.
+_WIDE_BYTES = 280
 
 
-def quantised(vector: Column, scale: float) -> Column:
-    """floor(scale * x) of each component as long, or null for vectors that take no part."""
+def sound(vector: Column) -> Column:
+    """The components as doubles, or null for vectors that take no part."""
     xs = vector.cast("array<double>")
     # NaN is greater than any number here, so one comparison excludes it together with infinity.
-    sound = F.forall(xs, lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
-    return F.when(sound, F.transform(xs, lambda x: F.floor(x * F.lit(scale)).cast("long")))
+    return F.when(F.forall(xs, lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False))), xs)
+
+
+def quantised(column: pa.Array, d: int, scale: float) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """floor(scale * x) of each component: which rows are narrow, their matrix, and the other rows."""
+    xs = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), d)
+    with np.errstate(over="ignore"):
+        scaled = np.floor(xs * scale)
+    narrow = (np.abs(scaled) <= NARROW).all(1)
+    exact = Fraction(scale)
+    return narrow, scaled[narrow].astype(np.int64), [[floor(Fraction(float(x)) * exact) for x in row] for row in xs[~narrow]]
 
 
 def added(stacks: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
@@ -54,22 +76,31 @@ def added(stacks: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
 
 
 class SlicedBlock:
-    """The bit slices of one block of rows, in id order."""
+    """The bit slices of one block of rows, in id order: digit, dimension, word."""
+
+    def __init__(self, ids: np.ndarray, low: np.ndarray, slices: np.ndarray) -> None:
+        self.ids, self.low, self.slices, self.digits = ids, low, slices, len(slices)
+        full = np.zeros(-(-len(ids) // 64) * 64, np.uint8)
+        full[: len(ids)] = 1
+        self.rows = np.packbits(full, bitorder="little").view("<u8")
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    @classmethod
+    def of(cls, ids: np.ndarray, vectors: np.ndarray) -> SlicedBlock:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        n, self.low = len(ids), vectors.min(0)
-        self.digits = max(1, int(vectors.max(0).astype(object).__sub__(self.low.astype(object)).max()).bit_length())
-        shifted = (self.vectors - self.low).astype(np.uint64).T  # dimensions x rows
-        words = -(-n // 64)
-        bits = np.zeros((self.digits, shifted.shape[0], words * 64), np.uint8)
-        for b in range(self.digits):
+        vectors, n = vectors[order], len(ids)
+        low = vectors.min(0) if n else np.zeros(vectors.shape[1], np.int64)
+        shifted = (vectors - low).astype(np.uint64).T  # dimensions x rows
+        digits, words = max(1, int(shifted.max(initial=0)).bit_length()), -(-n // 64)
+        bits = np.zeros((digits, len(low), words * 64), np.uint8)
+        for b in range(digits):
             bits[b, :, :n] = (shifted >> np.uint64(b)) & np.uint64(1)
-        self.slices = np.packbits(bits, axis=-1, bitorder="little").view("<u8")  # digit, dimension, word
-        full = np.zeros(words * 64, np.uint8)
-        full[:n] = 1
-        self.rows = np.packbits(full, bitorder="little").view("<u8")
+        packed = np.packbits(bits, axis=-1, bitorder="little")
+        return cls(ids[order], low, packed.view("<u8") if packed.size else np.zeros((digits, len(low), words), "<u8"))
+
+    def vectors(self, at: np.ndarray) -> np.ndarray:
+        """The rows at these places, from their slices."""
+        bits = (self.slices[:, :, at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+        return (self.low[:, None] + (bits.astype(np.int64) << np.arange(self.digits)[:, None, None]).sum(0)).T
 
     def _sum(self, query: np.ndarray) -> list[tuple[int, np.ndarray | None]]:
         stacks: dict[int, list[np.ndarray]] = defaultdict(list)
@@ -104,24 +135,56 @@ class SlicedBlock:
         unpack = lambda m: np.flatnonzero(np.unpackbits(m.view(np.uint8), bitorder="little"))
         first = unpack(sure)
         at = np.concatenate([first, unpack(level)[: k - len(first)]])
-        return self.ids[at], self.vectors[at] @ query
+        return self.ids[at], self.vectors(at) @ query
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy().reshape(len(flat), -1).astype(np.int64)
+def _indexer(scale: float):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rb, d = (k.as_py() for k in key)
+        rows = rows.combine_chunks()
+        ids = rows.column("vec_id").to_numpy()
+        narrow, matrix, wide = quantised(rows.column("v").chunk(0), d, scale)
+        block = SlicedBlock.of(ids[narrow], matrix)
+        row = [rb, d, block.ids.astype("<i8").tobytes(), block.low.astype("<i8").tobytes(), block.digits, block.slices.tobytes(), ids[~narrow].astype("<i8").tobytes(), [[str(x) for x in w] for w in wide]]
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.string()))]
+        return pa.table([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=[f.split()[0] for f in _INDEX.split(", ")])
+
+    return run
 
 
-def _searcher(k: int):
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if rows.num_rows and queries.num_rows:
-            block = SlicedBlock(rows.column("vec_id").to_numpy(), _matrix(rows.column("v")))
-            for q, vector in zip(queries.column("vec_id").to_numpy(), _matrix(queries.column("v")), strict=True):
-                ids, scores = block.top(int(q), vector, k)
-                found.append((np.full(len(ids), q), ids, scores))
-        cols = [np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(3)]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+def _ordered_bytes(score: int) -> bytes:
+    return (score + (1 << (8 * _WIDE_BYTES - 1))).to_bytes(_WIDE_BYTES)
+
+
+def _searcher(k: int, scale: float):
+    def run(index: pa.Table, queries: pa.Table) -> pa.Table:
+        found: list[tuple[int, int, int, bytes | None]] = []
+        for row in index.to_pylist() if queries.num_rows else []:
+            d, digits = row["d"], row["digits"]
+            ids = np.frombuffer(row["ids"], "<i8")
+            block = SlicedBlock(ids, np.frombuffer(row["low"], "<i8"), np.frombuffer(row["slices"], "<u8").reshape(digits, d, -(-len(ids) // 64)))
+            beside = list(zip(np.frombuffer(row["wide_ids"], "<i8").tolist(), [[int(x) for x in w] for w in row["wide"]], strict=True))
+            everything: list[tuple[int, list[int]]] = []
+            table = queries.combine_chunks()
+            narrow, matrix, wide = quantised(table.column("v").chunk(0), d, scale)
+            narrow_at, wide_at = iter(matrix), iter(wide)
+            for q, small in zip(table.column("vec_id").to_pylist(), narrow, strict=True):
+                if small:
+                    vector = next(narrow_at)
+                    some, scores = block.top(q, vector, k)
+                    best = [(int(s), int(i)) for i, s in zip(some, scores, strict=True)]
+                    exact, rest = [int(x) for x in vector], beside
+                else:
+                    if not everything:
+                        everything = [*zip(ids.tolist(), block.vectors(np.arange(len(ids))).tolist(), strict=True), *beside]
+                    best, exact, rest = [], next(wide_at), everything
+                best += [(sum(a * b for a, b in zip(exact, v, strict=True)), i) for i, v in rest if i != q]
+                for s, i in sorted(best, key=lambda x: (-x[0], x[1]))[:k]:
+                    held = max(-_LONG - 1, min(_LONG, s))
+                    found.append((q, i, held, None if held == s else _ordered_bytes(s)))
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        cols = list(zip(*found, strict=True)) or [()] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["query_id", "vec_id", "score", "beyond"])
 
     return run
 
@@ -131,19 +194,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 64.0, row
     all rows but those with its own id, ties to the smaller id; all of them if fewer.
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows without an
-    id or vectors of another length than the query's. Repeated rows stay repeated candidates, and
-    a query id that repeats is asked once (the row with the smallest vector). Components beyond
-    2**24 after scaling fail, as scores would leave 64 bits. Empty input gives no rows.
+    id or vectors of another length than the query's; empty vectors score 0 with each other. Repeated
+    rows stay repeated candidates, and a query id that repeats is asked once for each length (the row
+    with the smallest vector) and ranked together. Ranks are exact whatever the size of the components; a score beyond 64
+    bits is given as the nearest long. Other columns are ignored; empty input gives no rows.
     """
     spark = vectors.sparkSession
-    sound = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("v"), is_query.alias("q")).where(F.col("v").isNotNull() & F.col("vec_id").isNotNull())
-    sound = sound.withColumn("v", F.transform("v", lambda x: F.when(F.abs(x) <= (1 << 24), x).otherwise(F.raise_error(F.lit("component too large")).cast("long")))).withColumn("d", F.size("v"))
-    counts = sound.agg(F.count("*"), F.count(F.when(F.col("q"), 1))).first()
-    row_blocks, query_blocks = (max(1, -(-n // size)) for n, size in zip(counts, (row_block, query_block), strict=True))
-    rows = sound.select("vec_id", "v", "d", F.pmod(F.xxhash64("vec_id"), F.lit(row_blocks)).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-    asked = sound.where("q").groupBy("vec_id", "d").agg(F.min("v").alias("v"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), sound(F.col("embedding")).alias("v"), is_query.alias("q")).where(F.col("v").isNotNull() & F.col("vec_id").isNotNull()).withColumn("d", F.size("v"))
+    n_rows, n_queries = rows.agg(F.count("*"), F.count(F.when(F.col("q"), 1))).first()
+    row_blocks = max(1, -(-n_rows // row_block))
+    query_blocks = max(1, -(-n_queries // query_block), min(-(-partitions(spark) // row_blocks), -(-n_queries // 64)))
+    index = saved(rows.withColumn("rb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(row_blocks))).select("rb", "d", "vec_id", "v").groupBy("rb", "d").applyInArrow(_indexer(scale), _INDEX), "slices")
+    asked = rows.where("q").groupBy("vec_id", "d").agg(F.min("v").alias("v"))
     queries = asked.select("vec_id", "v", "d", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)).cast("array<bigint>")).alias("rb"))
+    blocks = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     key = ("qb", "rb", "d")
-    hits = rows.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(_searcher(k), _HIT)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    hits = blocks.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(_searcher(k, scale), _HIT)
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("beyond").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
