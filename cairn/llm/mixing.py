@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import SPACE_RUN, WORD, packed, saved, unpacked
+from cairn.llm.common import SPACE_RUN, WORD, packed, partitions, saved, unpacked
 
 #: Words of one block; production sequences are longer, at the price of coarser targets.
 BLOCK_WORDS = 64
@@ -76,12 +76,14 @@ def _permuted() -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, sk (the source, with null told apart), source, size (words; null: 0) of every row."""
+    """doc_id, sk (the source, with null told apart), source, size (words; null: 0) and th (a hash of the
+    text) of every row."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("sk"),
         F.col("source").alias("source"),
         F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"),
     )
 
 
@@ -107,9 +109,10 @@ def source_targets(sizes: DataFrame, share: float = SHARE, weights: tuple[int, .
 
 
 def placed(sizes: DataFrame) -> DataFrame:
-    """``sizes`` with ``start``, the number of words of its source before the row, by chunk and id."""
-    own = Window.partitionBy("sk", "chunk").orderBy(F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    chunked = sizes.withColumn("chunk", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(CHUNKS)))
+    """``sizes`` with ``start``, the number of words of its source before the row, by chunk, id, size and text
+    (rows that agree in all of these are interchangeable). Null ids are dealt to chunks by their texts."""
+    own = Window.partitionBy("sk", "chunk").orderBy(F.col("doc_id").asc_nulls_first(), "size", "th").rowsBetween(Window.unboundedPreceding, -1)
+    chunked = sizes.withColumn("chunk", F.pmod(F.coalesce("doc_id", "th"), F.lit(CHUNKS)))
     earlier = Window.partitionBy("sk").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunked.groupBy("sk", "chunk").agg(F.sum("size").alias("words")).withColumn("base", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
     inside = chunked.withColumn("inside", F.coalesce(F.sum("size").over(own), F.lit(0)))
@@ -118,14 +121,15 @@ def placed(sizes: DataFrame) -> DataFrame:
 
 def mixture(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """The mix as rows (shard, rank, j, block): slot j of a source reads that block."""
+    width = partitions(targets.sparkSession)  # a number, or adaptive execution makes these few rows one task
     shards = F.greatest(F.ceil(F.sum("slots").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / shard_slots), F.lit(1)).cast("long")
     sources = targets.where("slots > 0").select("rank", "blocks", "slots", shards.alias("shards"))
-    spread = sources.withColumn("part", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SPREAD}L)"))).repartition(F.col("rank"), F.col("part"))
+    spread = sources.withColumn("part", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SPREAD}L)"))).repartition(width, F.col("rank"), F.col("part"))
     slots = spread.withColumn("j", F.explode(F.expr(f"sequence(part * {SPREAD}L, least(slots, (part + 1) * {SPREAD}L) - 1)")))
     # The draw: how many slots of each source fall into each shard.
     drawn = slots.groupBy("rank", (scattered(F.col("j"), F.col("rank")) % F.col("shards")).alias("shard"), "blocks").agg(F.count("*").alias("n"))
     to_here = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = _permutation(drawn.withColumn("first", F.sum("n").over(to_here) - F.col("n"))).repartition(F.col("rank"), F.col("shard"))
+    first = _permutation(drawn.withColumn("first", F.sum("n").over(to_here) - F.col("n"))).repartition(width, F.col("rank"), F.col("shard"))
     return first.withColumn("j", F.explode(F.expr("sequence(first, first + n - 1)"))).select("shard", "rank", "j", _permuted().alias("block"))
 
 
@@ -157,26 +161,43 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return some.select(*out, "taken").unionByName(none)
 
 
+def mix_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The mix as packed blocks: shard, source, slot (of its source), block, words (an array; ``block_words`` of
+    them, fewer in the last block of a source). A block that two passes take is in two slots."""
+    sizes = saved(sized(docs), "sizes")
+    targets = saved(source_targets(sizes, block_words=block_words), "targets")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("sk"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"), "text").dropDuplicates(["id", "sk", "th"])
+    pieces = _pieces(placed(sizes).join(targets, "sk"), targets, block_words).where("times > 0").withColumn("id", F.coalesce("doc_id", F.lit(-1)))
+    held = pieces.groupBy("id", "sk", "th", "rank", "source").agg(F.collect_list(F.struct("start", "block", "lo", "len")).alias("parts")).join(texts, ["id", "sk", "th"])
+    words = held.withColumn("all", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).select("rank", "source", "all", F.explode("parts").alias("p"))
+    part = F.struct(F.col("p.start").alias("start"), F.slice("all", (F.col("p.lo") + 1).cast("int"), F.col("p.len").cast("int")).alias("words"))
+    blocks = words.groupBy("rank", F.col("p.block").alias("block")).agg(F.first("source").alias("source"), F.flatten(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["words"])).alias("words"))
+    return mixture(targets, shard_slots).join(blocks.hint("merge"), ["rank", "block"]).select("shard", "source", F.col("j").alias("slot"), "block", "words")
+
+
 def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The mix as documents: the columns of ``docs``, the text cut down to the words that the mix
     takes (those of a second pass again after those of the first), n_chars its length. Words keep the
     white space after them, the first of a text also what stands before it, so a text taken whole is
     unchanged; passes are parted by a space where none is. Rows of which nothing is taken go, and so
-    do rows without words: the mix holds none of them."""
+    do rows without words: the mix holds none of them. Null ids and sources are values like others; rows
+    that repeat get what falls to each, in the order of a hash of the whole row, so reruns agree. An empty
+    table gives no rows."""
     sizes = saved(sized(docs), "sizes")
     targets = saved(source_targets(sizes, block_words=block_words), "targets")
     pieces = _pieces(placed(sizes).join(targets, "sk"), targets, block_words).where("times > 0")
-    rows = pieces.groupBy("doc_id", "sk", "size", "start").agg(F.sort_array(F.collect_list(F.struct("block", "lo", "len", "times"))).alias("parts"))
-    same = rows.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_no_id"), F.col("sk").alias("_sk"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list(F.struct("start", "parts"))).alias("_rows"))
-    keys = ["_id", "_no_id", "_sk", "_size"]
+    rows = pieces.groupBy("doc_id", "sk", "th", "start").agg(F.sort_array(F.collect_list(F.struct("block", "lo", "len", "times"))).alias("parts"))
+    same = rows.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_no_id"), F.col("sk").alias("_sk"), F.col("th").alias("_th")).agg(F.sort_array(F.collect_list(F.struct("start", "parts"))).alias("_rows"))
+    keys = ["_id", "_no_id", "_sk", "_th"]
     row = F.col("_row")
     keyed = packed(docs).withColumns({
         "_id": F.coalesce(row["doc_id"].cast("long"), F.lit(-1)),
         "_no_id": row["doc_id"].isNull(),
         "_sk": F.coalesce(F.concat(F.lit("s"), row["source"]), F.lit("n")),
-        "_size": F.regexp_count(F.coalesce(row["text"], F.lit("")), F.lit(WORD)).cast("long"),
+        "_th": F.xxhash64(F.coalesce(row["text"], F.lit(""))),
     })
-    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    # Rows of one id, source and text differ in other columns at most; their hash gives them an order.
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("_row")))
     met = keyed.join(same, keys).withColumn("_turn", turn).where(F.col("_turn") <= F.size("_rows"))
     met = met.withColumns({"_parts": F.element_at("_rows", F.col("_turn"))["parts"], "_words": F.regexp_extract_all(row["text"], F.lit(_SPACED), F.lit(0))})
     piece = lambda p: F.array_join(F.slice("_words", (p["lo"] + 1).cast("int"), p["len"].cast("int")), "")
