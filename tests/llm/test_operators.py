@@ -118,6 +118,40 @@ def test_mixing_keeps_white_space(spark):
         assert all(any(w in (x, x.rstrip()) for x in left) for w in re.findall(r"\S+\s*", again))
 
 
+def test_mixing_blocks(docs, rows):
+    """Blocks hold what documents give to them, slots are drawn to shards, and both views of the mix agree."""
+    blocks = mixing.mix_blocks(docs, block_words=4, shard_slots=50).collect()
+    taken = Counter()
+    for r in mixing.mix(docs, block_words=4).collect():
+        taken[r.source] += r.taken
+    got, words, slots = Counter(), defaultdict(Counter), defaultdict(list)
+    for b in blocks:
+        got[b.source] += len(b.words)
+        assert 0 < len(b.words) <= 4
+        words[b.source].update(b.words)
+        slots[b.source].append(b.slot)
+    assert got == Counter({s: n for s, n in taken.items() if n})
+    source = defaultdict(Counter)
+    for i, t, s in rows:
+        source[s].update((t or "").split())
+    assert all(n <= 2 * source[s][w] for s in words for w, n in words[s].items())
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    shards = Counter(b.shard for b in blocks)
+    assert len(shards) > 5 and max(shards.values()) < 90  # 50 of them in a shard, as a draw spreads them
+
+
+def test_mixing_repeated_and_null_rows(spark):
+    rng = random.Random(3)
+    rows = [(None if i % 3 else 5, sentence(rng, rng.randint(1, 40)) if i % 4 else "a b c d e", None if i % 5 == 0 else "s") for i in range(60)]
+    first = mixing.mix_documents(frame(spark, rows), block_words=4)
+    key = lambda df: sorted((str(r.doc_id), r.text, str(r.source)) for r in df.collect())
+    assert key(first) == key(mixing.mix_documents(frame(spark, rows[::-1]).repartition(7), block_words=4))
+    taken = Counter()
+    for r in mixing.mix(frame(spark, rows), block_words=4).collect():
+        taken[r.source] += r.taken
+    assert taken == sum((Counter({r.source: len(r.text.split())}) for r in first.collect()), Counter())
+
+
 def test_permutations_are_permutations(spark):
     for blocks in (1, 2, 3, 7, 64, 100, 1000):
         sources = spark.createDataFrame([(3, blocks)], "rank long, blocks long")
@@ -233,6 +267,83 @@ def test_line_dedup(spark):
     assert count and all(n == 1 for n in count.values())  # a long line stays exactly once
 
 
+def plain_lines(rows):
+    """Of every (id, text), in rank order, the plain lines with words, and for every line the longest run (in
+    words) through it that an earlier place has too."""
+    out, places = {}, []
+    for i, t in sorted({(i, t or "") for i, t, _ in rows}, key=lambda r: (r[0] is None, r[0])):
+        lines = [" ".join(x.lower().split()) for x in t.split("\n") if x.split()]
+        size = [len(x.split()) for x in lines]
+        places.append(lines)
+        longest = [0] * len(lines)
+        for other in places:
+            for d in range(-len(lines), len(other)):  # line k here against line k + d there
+                k = 0
+                while k < len(lines):
+                    m = k
+                    while m < len(lines) and 0 <= m + d < len(other) and lines[m] == other[m + d] and (other is not lines or d < 0):
+                        m += 1
+                    words = sum(size[k:m])
+                    for x in range(k, m):
+                        longest[x] = max(longest[x], words)
+                    k = max(m, k + 1)
+        out[i, t] = lines, size, longest
+    return out
+
+
+def check_lines(rows, got, exact):
+    expected = plain_lines(rows)
+    texts = {i: t or "" for i, t, _ in rows}
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _, _ in rows)
+    deleted = 0
+    for r in got:
+        lines, size, longest = expected[r.doc_id, texts[r.doc_id]]
+        kept = [" ".join(x.lower().split()) for x in (r.text or "").split("\n") if x.split()]
+        may = [x >= line_dedup.GRAM for x in longest]
+        must = [x >= line_dedup.WINDOW + line_dedup.GRAM or (w >= line_dedup.GRAM and x) for x, w in zip(longest, size, strict=True)]
+        assert r.n_removed == len(lines) - len(kept)
+        if exact:  # every run stands in one context, so all of it goes
+            sure = [x for x, m in zip(lines, must, strict=True) if not m]
+            least = [x for x, m in zip(lines, may, strict=True) if not m]
+            assert len(least) <= len(kept) <= len(sure) and not Counter(least) - Counter(kept) and not Counter(kept) - Counter(sure)
+        else:
+            assert not Counter(x for x, m in zip(lines, may, strict=True) if not m) - Counter(kept)
+            assert not any(x in kept for x, w, m in zip(lines, size, longest, strict=True) if w >= line_dedup.GRAM and m and lines.count(x) == 1)
+        deleted += r.n_removed
+    return deleted
+
+
+def test_line_dedup_brute_force(spark):
+    rng = random.Random(14)
+    words = [f"w{k}" for k in range(900)]
+    line = lambda: sentence(rng, rng.choice([1, 2, 4, 7, 9, 12, 21, 33]), words)
+    passages, rows = [[line() for _ in range(rng.randint(3, 14))] for _ in range(6)], []
+    for i in range(50):
+        lines = [line() for _ in range(rng.randint(1, 6))]
+        if i % 2:
+            at = rng.randrange(len(lines) + 1)
+            lines[at:at] = [x for p in passages[i % 6] for x in ([p.upper(), " \t"] if rng.random() < 0.2 else [p])]
+        rows.append((i, "\n".join(lines), "s"))
+    rows += [(60, "\n".join([line()] * 40), "s"), (61, "\n".join(["a b c"] * 50 + ["d e f g"]), "s"), (62, None, "s"), (63, "", "s"), (None, rows[1][1], "s"), (64, rows[1][1] + "\nthe end", "s"), (65, "one " * 5000, "s"), (66, "one " * 5000, "s")]
+    assert check_lines(rows, line_dedup.dedup_lines(frame(spark, rows + rows[:3])).dropDuplicates(["doc_id", "text"]).collect(), True) > 200
+
+
+def test_line_dedup_mixed_contexts(spark):
+    rng = random.Random(15)
+    pool = [sentence(rng, n, [f"w{k}" for k in range(400)]) for n in (3, 5, 8, 9, 11, 22, 30, 2, 6, 14)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 25))), "s") for i in range(60)]
+    assert check_lines(rows, line_dedup.dedup_lines(frame(spark, rows)).collect(), False) > 200
+
+
+def test_line_dedup_is_linear_in_repetitive_texts(spark):
+    import time
+
+    text = "\n".join([sentence(random.Random(1), 20)] * 60_000)
+    start = time.perf_counter()
+    got = line_dedup.dedup_lines(frame(spark, [(1, text, "s")])).collect()
+    assert got[0].n_removed == 59_999 and time.perf_counter() - start < 60
+
+
 def test_line_dedup_awkward(docs, rows):
     got = line_dedup.dedup_lines(docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _, _ in rows)
@@ -378,6 +489,24 @@ def test_top_k(spark):
     assert {tuple(r) for r in got.collect()} == expected
 
 
+def test_top_k_awkward(spark):
+    """Empty and wide vectors, lengths that differ, repeated rows, scores beyond 64 bits, clashing columns."""
+    rng = random.Random(6)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(60)]
+    rows += [(60 + i, [rng.choice([1e5, -3e6, 2e17, 1e200, -1e300, 0.5]) for _ in range(3)]) for i in range(20)]
+    rows += [(80, []), (81, []), (100, []), (83, [1.0]), (120, [2.0]), (7, rows[7][1]), (7, rows[7][1]), (20, [9.0, 9.0, 9.0])]
+    df = spark.createDataFrame([(i, v, 1, "x", 2) for i, v in rows], "vec_id long, embedding array<double>, d int, q string, rb int")
+    got = topk_search.top_k(df, F.col("vec_id") % 20 == 0, 9, row_block=25, query_block=2).collect()
+    whole = [(i, [__import__("math").floor(__import__("fractions").Fraction(x) * 64) for x in v]) for i, v in rows]
+    expected = Counter()
+    for q, d in {(i, len(v)) for i, v in whole if i % 20 == 0}:
+        query = min(v for (i, r), (_, v) in zip(rows, whole, strict=True) if i == q and len(v) == d)
+        best = [(-sum(a * b for a, b in zip(query, v, strict=True)), i) for i, v in whole if i != q and len(v) == d]
+        for n, (s, i) in enumerate(sorted(best)[:9], 1):
+            expected[q, n, i, max(-(1 << 63), min((1 << 63) - 1, -s))] += 1
+    assert Counter(tuple(r) for r in got) == expected
+
+
 def test_sentencepiece(docs, rows):
     m = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     ids = sentencepiece_codec.encode(docs, MODEL, table_chars=200)
