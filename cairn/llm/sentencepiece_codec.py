@@ -189,6 +189,24 @@ def _decoder(path: str):
     return run
 
 
+def _round_trip(path: str, table_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segmenter = Segmenter(path, table_chars)
+        for rows in stretches(batches, 1):
+            ids = segmenter.encode(_one(rows.column(1))).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([_one(rows.column(0)), ids, decode_ids(path, ids)], ["doc_id", "ids", "decoded"])
+
+    return run
+
+
+def round_trip(docs: DataFrame, model: str, table_chars: int = TABLE_CHARS) -> DataFrame:
+    """doc_id, ids and decoded of every row: ``decode(encode(docs))`` in one pass, so that a task has one
+    Python worker and ids are not sent twice. Null and empty texts have no ids and decode to the empty
+    text; repeated rows give repeated rows; an empty table gives none; other columns are ignored."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_round_trip(model, table_chars)), "doc_id long, ids array<int>, decoded string")
+
+
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """``encoded`` (doc_id, ids) with the text that the library's decode(ids) gives, as ``decoded``.
     Null ids decode to the empty text."""
