@@ -49,8 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and decoded (the text that the ids decode to)."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model), model)
+    coded = sentencepiece_codec.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
