@@ -119,12 +119,18 @@ class Collection:
         self._store.delete("")
 
     def flush(self) -> None:
-        """Checkpoint: one Parquet directory for the revision, older ones pruned. Nothing to do if it is one."""
+        """Checkpoint: one Parquet directory for the revision. Revisions that readers may have open stay until
+        ``vacuum``; nothing to do if the revision is one directory."""
         self._writable()
         if len(self._manifest.parts) > 1:
             name = self._store.write(self.documents())
             self._commit(evolved(self._manifest, parts=((name, None),)))
-        self._store.prune(keep=1)
+
+    def vacuum(self, retain_seconds: float = 7 * 86_400) -> None:
+        """Delete what only revisions older than ``retain_seconds`` name. A reader, or a DataFrame not yet
+        run, that is older than that loses its files, as with any store of immutable parts."""
+        self._writable()
+        self._store.prune(retain_seconds)
 
     def _check(self) -> None:
         if not self._open:
@@ -182,7 +188,7 @@ class Collection:
             analyzer, operator = _analyzer(self.schema.field(q.field_name)), q.params.get("default_operator", "or").lower()
             make = query_string.match_terms if q.route == "match_string" else lambda t, a, o: query_string.parse(t, a, q.field_name, o)
             tree = make(q.match_string or q.query_string, analyzer, operator)
-            return vectors.top(fts.search(docs, rows, q.field_name, tree, analyzer, PK), q.topk)
+            return vectors.top(fts.search(docs, rows, q.field_name, tree, analyzer, PK, self._text_index(q.field_name)), q.topk)
         v = self.schema.vector(q.field_name)
         metric = metric_of(q, v)
         radius = q.radius if q.radius is not None else (q.params.get("radius") or None)
@@ -197,8 +203,9 @@ class Collection:
             return vectors.top(vectors.scored_sparse(rows, v.name, probe, metric), q.topk, floor=floor)
         index = v.index
         if index and index.kind != "flat" and not q.params.get("is_linear") and index["metric"] == metric and (saved := self._index(v.name)) is not None:
-            near = ann.candidates(saved, index, probe, metric, q.topk, q.params, rows.select(PK) if q.filter else None)
-            ranked = vectors.top(vectors.scored_dense(rows.join(F.broadcast(near), PK, "left_semi"), v.name, probe, metric), q.topk, floor=floor)
+            # Written once, read twice; no broadcast is asked for, as the keys grow with the lists probed.
+            near = self._kept(ann.candidates(saved, index, probe, metric, q.topk, q.params, rows.select(PK) if q.filter else None))
+            ranked = vectors.top(vectors.scored_dense(rows.join(near, PK, "left_semi"), v.name, probe, metric), q.topk, floor=floor)
             # Too few candidates: the exact scan decides.
             if near.count() >= q.topk:
                 return ranked
@@ -408,6 +415,17 @@ class Collection:
     def _index_name(self, name: str) -> str:
         return f"index-{name}-{self.schema.digest():08x}-{self.revision}"
 
+    def _kept(self, df: DataFrame) -> DataFrame:
+        """``df`` computed once for several uses."""
+        return df.checkpoint() if self._store.spark.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+    def _text_index(self, name: str) -> fts.TextIndex | None:
+        """A text field's postings, if they are of this revision and schema; otherwise queries scan."""
+        folder = self._index_name(name)
+        if not self._store.exists(f"{folder}/_ready"):
+            return None
+        return fts.TextIndex.read(self._store.spark, f"{self._store.root}/{folder}", self._store.read_text(f"{folder}/_ready"))
+
     def _index(self, name: str) -> ann.SavedIndex | None:
         """A field's derived tables, if they are of this revision and schema."""
         folder = self._index_name(name)
@@ -423,8 +441,8 @@ class Collection:
             if (v := self.schema.vector(name)) and v.index and v.index.kind != "flat":
                 ann.build(self._store, folder, self.documents().select(PK, F.col(name).cast("array<float>").alias("v")), v.index)
             elif (f := self.schema.field(name)) and f.index and f.index.kind == "fts":
-                fts.postings(self.documents(), name, _analyzer(f), PK).repartition("term").sortWithinPartitions("term").write.parquet(f"{self._store.root}/{folder}/postings")
-                self._store.write_text(f"{folder}/_ready", "")
+                facts = fts.TextIndex.build(self.documents(), name, _analyzer(f), PK, f"{self._store.root}/{folder}")
+                self._store.write_text(f"{folder}/_ready", facts)
 
     def optimize(self) -> None:
         """Checkpoint and rebuild every index."""

@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.collection import Collection
-from cairn.plans.queries import dense
-from cairn.registry import _add, _dense_sql, _probe, _table
+from cairn.plans.queries import dense, query_string
+from cairn.registry import ORACLE_SQL, _add, _dense_sql, _probe, _table
 from cairn.schema import PK, CollectionSchema, FieldSchema, IndexParams, VectorSchema
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared scratch space, which is a local one only where none is set."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/collections/{uuid.uuid4().hex}"
+    """A new folder in the shared scratch space. Where none is set only a session in one process gets a local one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{root or tempfile.mkdtemp()}/collections/{uuid.uuid4().hex}"
 
 
 def _embeddings(spark: SparkSession, sf_dir: str, index: IndexParams | None = None) -> Collection:
@@ -64,6 +67,25 @@ for _name, _kind, _params, _controls in BOUNDED:
     _add(_name, partial(_near, _kind, _params, _controls))
 
 
+def _indexed(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A structured query answered from the stored postings of a collection."""
+    fields = (FieldSchema("text", "string", True), FieldSchema("lang", "string", True))
+    c = Collection.create(spark, _folder(spark), CollectionSchema("documents", fields))
+    c.upsert_frame(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias(PK), "text", "lang"), insert_only=True)
+    c.create_index("text", IndexParams("fts"))
+    out = c.query(query_string("text", text, 20))
+    c.close()
+    return out.select(F.col(PK).cast("long").alias("doc_id"), F.round(F.col("_score").cast("double") + 0.0, 4).alias("score"))
+
+
+for _name, _text in (
+    ("bm25_or", "erea thanea idiot"), ("bm25_must_not", "+erea the -of"), ("bm25_boolean", "(erea OR idiot) AND the NOT that"),
+    ("phrase", '"of the"'), ("phrase_slop", '"of the"~2'), ("wildcard", "idi?t clo*n"), ("term_range", "[clown TO cloz}"), ("fuzzy", "idoit~1"),
+):
+    _scan = ORACLE_SQL[_name].replace("round(s + 0.0, 6)", "round(s::FLOAT::DOUBLE + 0.0, 4)").replace("s DESC, doc_id LIMIT", "s DESC, doc_id::VARCHAR LIMIT")
+    _add(f"{_name}_indexed", partial(_indexed, _text), _scan)
+
+
 def _customers(spark: SparkSession, sf_dir: str) -> Collection:
     fields = (FieldSchema("c_name", "string"), FieldSchema("c_nationkey", "int32", True), FieldSchema("c_acctbal", "double", True))
     c = Collection.create(spark, _folder(spark), CollectionSchema("customer", fields))

@@ -1,16 +1,20 @@
-"""BM25 search as one aggregation for corpus statistics and one scan for scores.
+"""BM25 search, from stored postings where there are some, otherwise by a scan.
 
-Scores need no shuffle: statistics of the query's terms are a single global aggregation, and every
-row scores itself from its own token array. Only patterns (wildcard, fuzzy, range), whose terms are
-not known beforehand, group the matching tokens by term.
+Without an index, statistics of the query's terms are a single global aggregation, and every row
+scores itself from its own token array: no shuffle. Only patterns (wildcard, fuzzy, range), whose terms
+are not known beforehand, group the matching tokens by term. An index holds the statistics, a vocabulary
+and postings in term order, so a search reads the row groups of its terms; texts are read for the
+documents found, and analyzed only to check phrases. Both ways give the same scores.
 """
 
 from __future__ import annotations
 
+import json
 import math
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.analysis import Analyzer
@@ -31,6 +35,37 @@ def postings(df: DataFrame, text: str, analyzer: Analyzer, pk: str) -> DataFrame
     return tokens.select(pk, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("term", pk, "dl").agg(F.count("*").alias("tf"))
 
 
+@dataclass(frozen=True)
+class TextIndex:
+    """Postings (term, key, dl, tf) and vocabulary (term, df) in term order, documents and tokens in all."""
+
+    postings: DataFrame
+    vocabulary: DataFrame
+    documents: float
+    tokens: float
+
+    @staticmethod
+    def build(df: DataFrame, text: str, analyzer: Analyzer, pk: str, folder: str) -> str:
+        """Write an index; its facts, for ``read``. Ranges of terms, not hashes, are dealt to files, so a
+        search for a term opens one, and a term that most documents have may span several."""
+        spark = df.sparkSession
+        postings(df, text, analyzer, pk).repartitionByRange("term", pk).sortWithinPartitions("term").write.parquet(f"{folder}/postings")
+        stored = spark.read.parquet(f"{folder}/postings")
+        stored.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/vocabulary")
+        documents = df.where(F.col(text).isNotNull()).count()
+        return json.dumps({"documents": documents, "tokens": stored.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]})
+
+    @classmethod
+    def read(cls, spark: SparkSession, folder: str, facts: str) -> TextIndex:
+        known = json.loads(facts)
+        return cls(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/vocabulary"), float(known["documents"]), float(known["tokens"]))
+
+
+def _needs_all(node: Node) -> bool:
+    """Whether documents without any of the query's terms can match."""
+    return node.kind == "all" or any(_needs_all(p) for p in node.parts)
+
+
 def _terms(node: Node) -> set[str]:
     own = {node.value} if node.kind == "term" else set(node.value[0]) if node.kind == "phrase" else set()
     return own.union(*(_terms(p) for p in node.parts))
@@ -136,33 +171,62 @@ def _terms_of(matcher: Matcher, vocab: DataFrame) -> DataFrame:
     return vocab.where(F.abs(F.length(term) - len(goal)) <= most).where(F.pandas_udf(near, "boolean")(term))
 
 
-def search(corpus: DataFrame, rows: DataFrame, text: str, query: Node, analyzer: Analyzer, pk: str) -> DataFrame:
+def search(corpus: DataFrame, rows: DataFrame, text: str, query: Node, analyzer: Analyzer, pk: str, index: TextIndex | None = None) -> DataFrame:
     """``rows`` that match, with ``_score``. Statistics are those of ``corpus`` (whatever the filter that
-    gave ``rows``), over documents that have the text. Rows with a score of 0 or less are dropped."""
-    terms = sorted(_terms(query))
+    gave ``rows``), over documents that have the text. Rows with a score of 0 or less are dropped. ``index``
+    must be one of ``corpus``."""
+    terms, matchers = sorted(_terms(query)), _matchers(query)
+    if index is not None and not _needs_all(query):
+        return _searched(index, rows, text, query, analyzer, pk, terms, matchers)
     # One element exploded: Spark then keeps the tokens instead of analyzing again at each use.
     own = F.explode(F.array(analyzer.column(F.col(text))))
     held = corpus.where(F.col(text).isNotNull()).select(own.alias("_t"))
     facts = held.agg(F.count("*"), F.coalesce(F.sum(F.size("_t")), F.lit(0)), *(F.coalesce(F.sum(F.array_contains("_t", t).cast("long")), F.lit(0)) for t in terms)).first()
-    n, total, dfs = float(facts[0]), float(facts[1]), [float(x) for x in facts[2:]]
-    avgdl = total / n if n else 0.0
+    n, avgdl = float(facts[0]), float(facts[1]) / facts[0] if facts[0] else 0.0
     scored = rows.where(F.col(text).isNotNull()).withColumn("_t", own)
-    dl = F.size("_t").cast("double")
     equal = lambda t: lambda x: x == t
-    tf = {t: F.size(F.filter("_t", equal(t))).cast("double") for t in terms}
-    weight = {t: math.log((n - d + 0.5) / (d + 0.5) + 1.0) for t, d in zip(terms, dfs, strict=True)}
-    scored = scored.withColumns({f"_tf{i}": tf[t] for i, t in enumerate(terms)})
-    columns = {t: F.col(f"_tf{i}") for i, t in enumerate(terms)}
-    part = {t: _weight(columns[t], dl, F.lit(weight[t]), avgdl) for t in terms}
-    found: dict[int, tuple[Column, Column]] = {}
-    drop = ["_t", *(f"_tf{i}" for i in range(len(terms)))]
-    for i, matcher in enumerate(_matchers(query)):
+    scored = scored.withColumns({f"_tf{i}": F.size(F.filter("_t", equal(t))).cast("double") for i, t in enumerate(terms)})
+    for i, matcher in enumerate(matchers):
         # The pattern's terms with their frequencies, then its score in each row that has one of them.
         hits = _terms_of(matcher, vocabulary(corpus, text, analyzer))
         each = scored.select(pk, F.size("_t").cast("double").alias("dl"), F.explode("_t").alias("term")).groupBy(pk, "dl", "term").agg(F.count("*").cast("double").alias("tf"))
-        sums = each.join(hits, "term").groupBy(pk).agg(F.sum(_weight(F.col("tf"), F.col("dl"), idf(n, F.col("df").cast("double")), avgdl)).alias(f"_m{i}"))
-        scored = scored.join(sums, pk, "left")
-        found[i] = (F.col(f"_m{i}").isNotNull(), F.coalesce(f"_m{i}", F.lit(0.0)))
-        drop.append(f"_m{i}")
-    matched, score = _Fold(columns, part, found, F.col("_t")).of(query)
-    return scored.withColumn("_score", score).where(matched & (F.col("_score") > 0)).drop(*drop)
+        scored = scored.join(_pattern_scores(each, hits, n, avgdl, pk, f"_m{i}"), pk, "left")
+    return _folded(scored, F.size("_t").cast("double"), query, terms, [float(x) for x in facts[2:]], n, avgdl, ["_t"])
+
+
+def _searched(index: TextIndex, rows: DataFrame, text: str, query: Node, analyzer: Analyzer, pk: str, terms: list[str], matchers: list[Matcher]) -> DataFrame:
+    """The same from postings: every document that has one of the terms, its frequencies, and its text."""
+    known = {r["term"]: float(r["df"]) for r in index.vocabulary.where(F.col("term").isin(terms)).collect()} if terms else {}
+    n, avgdl = index.documents, index.tokens / index.documents if index.documents else 0.0
+    tf = {f"_tf{i}": F.max(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).cast("double") for i, t in enumerate(terms)}
+    found = index.postings.where(F.col("term").isin(terms)).groupBy(pk).agg(F.first("dl").cast("double").alias("_dl"), *(c.alias(k) for k, c in tf.items()))
+    for i, matcher in enumerate(matchers):
+        each = index.postings.select(pk, F.col("dl").cast("double").alias("dl"), "term", F.col("tf").cast("double").alias("tf"))
+        own = _pattern_scores(each, _terms_of(matcher, index.vocabulary), n, avgdl, pk, f"_m{i}")
+        found = found.join(own, pk, "outer")
+    found = found.fillna(0.0, list(tf))
+    scored = rows.where(F.col(text).isNotNull()).join(found, pk)
+    phrases = any(x.kind == "phrase" for x in _nodes(query))
+    # One element exploded: Spark then keeps the tokens instead of analyzing again at each use.
+    scored = scored.withColumn("_t", F.explode(F.array(analyzer.column(F.col(text)))) if phrases else F.lit(None).cast("array<string>"))
+    return _folded(scored, F.coalesce("_dl", F.lit(0.0)), query, terms, [known.get(t, 0.0) for t in terms], n, avgdl, ["_t", "_dl"])
+
+
+def _nodes(node: Node) -> list[Node]:
+    return [node, *(x for p in node.parts for x in _nodes(p))]
+
+
+def _pattern_scores(each: DataFrame, hits: DataFrame, n: float, avgdl: float, pk: str, name: str) -> DataFrame:
+    """Key and score of the documents that have a pattern's terms, from (key, dl, term, tf)."""
+    weight = _weight(F.col("tf"), F.col("dl"), idf(n, F.col("df").cast("double")), avgdl)
+    return each.join(hits, "term").groupBy(pk).agg(F.sum(weight).alias(name))
+
+
+def _folded(scored: DataFrame, dl: Column, query: Node, terms: list[str], dfs: list[float], n: float, avgdl: float, drop: list[str]) -> DataFrame:
+    """Rows with term frequencies (_tf<i>) and pattern scores (_m<i>) to those that match, with ``_score``."""
+    tf = {t: F.col(f"_tf{i}") for i, t in enumerate(terms)}
+    part = {t: _weight(tf[t], dl, F.lit(math.log((n - d + 0.5) / (d + 0.5) + 1.0)), avgdl) for t, d in zip(terms, dfs, strict=True)}
+    names = [f"_m{i}" for i in range(len(_matchers(query)))]
+    found = {i: (F.col(m).isNotNull(), F.coalesce(m, F.lit(0.0))) for i, m in enumerate(names)}
+    matched, score = _Fold(tf, part, found, F.col("_t")).of(query)
+    return scored.withColumn("_score", score).where(matched & (F.col("_score") > 0)).drop(*drop, *(f"_tf{i}" for i in range(len(terms))), *names)

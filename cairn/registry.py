@@ -135,14 +135,13 @@ _FILTERS: list[tuple[str, str, str, str, str]] = [
     ("filter_range", "orders", "o_orderkey", "o_totalprice >= 1000 and o_totalprice < 150000.5", "o_totalprice >= 1000 AND o_totalprice < 150000.5"),
     ("filter_in", "part", "p_partkey", "p_size in [1, 5, 9]", "p_size IN (1, 5, 9)"),
     ("filter_not_in", "part", "p_partkey", "p_brand not in ['Brand#1', 'Brand#12']", "p_brand NOT IN ('Brand#1', 'Brand#12')"),
-    ("filter_like", "part", "p_partkey", "p_type like '*E*L' or p_name like 'p_rt%1'", "p_type LIKE '%E%L' OR p_name LIKE 'p_rt%1'"),
+    ("filter_like", "part", "p_partkey", "p_type like '*CON*Y' or p_name like 'b_ue%t'", "p_type LIKE '%CON%Y' OR p_name LIKE 'b_ue%t'"),
     ("filter_prefix", "customer", "c_custkey", "c_mktsegment has_prefix 'B'", "starts_with(c_mktsegment, 'B')"),
     ("filter_suffix", "customer", "c_custkey", "not c_name has_suffix '7'", "NOT ends_with(c_name, '7')"),
-    ("filter_bool", "orders", "o_orderkey", "not (o_orderstatus = 'O' || o_custkey < 50) && o_totalprice > 1e", ""),
+    ("filter_bool", "orders", "o_orderkey", "not (o_orderstatus = 'O' || o_custkey < 50) && o_totalprice > 100000", "NOT (o_orderstatus = 'O' OR o_custkey < 50) AND o_totalprice > 100000"),
     ("filter_pk", "orders", "o_orderkey", "id <= 100", "o_orderkey <= 100"),
     ("filter_mismatch", "orders", "o_orderkey", "o_orderstatus != 5 and not o_orderstatus > 5", "true"),
 ]
-_FILTERS[8] = ("filter_bool", "orders", "o_orderkey", "not (o_orderstatus = 'O' || o_custkey < 50) && o_totalprice > 100000", "NOT (o_orderstatus = 'O' OR o_custkey < 50) AND o_totalprice > 100000")
 
 
 def _filtered(table: str, key: str, text: str, spark: SparkSession, sf_dir: str) -> DataFrame:

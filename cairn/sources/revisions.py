@@ -9,6 +9,7 @@ the manifest must be atomic there.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 import zlib
 from dataclasses import dataclass, replace
@@ -123,15 +124,21 @@ class Store:
             docs = docs.join(last, PK, "left").where(F.col("_gone").isNull() | (F.col("_seq") >= F.col("_gone")))
         return docs.select(*schema.names)
 
-    def prune(self, keep: int = 2) -> None:
-        """Remove old manifests and directories that the kept ones do not name."""
+    def age(self, name: str) -> float:
+        """Seconds since a file or directory was written."""
+        return time.time() - self._fs.getFileStatus(self._path(f"{self.root}/{name}")).getModificationTime() / 1000
+
+    def prune(self, retain_seconds: float) -> None:
+        """Remove manifests whose successor is older than ``retain_seconds``, and the directories of that age
+        that the kept ones do not name. The current revision always stays."""
         manifests = sorted((n for n in self.names() if n.startswith("manifest-")), reverse=True)
-        kept: set[str] = set(manifests[:keep]) | {"_writer", "config.json"}
-        for n in manifests[:keep]:
+        current = manifests[:1] + [n for n, successor in zip(manifests[1:], manifests, strict=False) if self.age(successor) < retain_seconds]
+        kept: set[str] = set(current) | {"_writer", "config.json"}
+        for n in current:
             for pair in Manifest.from_json(self.read_text(n)).parts:
                 kept |= {p for p in pair if p}
         for n in self.names():
-            if n not in kept and not n.startswith("index-"):
+            if n not in kept and not n.startswith("index-") and self.age(n) >= retain_seconds:
                 self.delete(n)
 
 
