@@ -49,7 +49,7 @@ def _mixed(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text index, feature) of every word, pair and skip pair, repeats included. Null has none."""
-    plain = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    plain = pc.utf8_lower(pc.fill_null(texts, "")).cast(pa.large_string())
     cut = pc.split_pattern_regex(plain, _NOT_WORD)
     coded = cut.values.dictionary_encode()
     distinct = coded.dictionary.to_pylist()
@@ -182,7 +182,8 @@ def _scorer(model: Model):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score (0 to 1) of every row's whole text; empty and null texts get the bias alone."""
+    """doc_id and score (0 to 1) of every row's whole text; empty and null texts get the bias alone.
+    Repeated rows give repeated rows, null ids stay null, an empty table gives no rows."""
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_scorer(model)), "doc_id long, score double")
 
@@ -197,6 +198,7 @@ def _keeper(model: Model, at: int, cut: float):
 
 
 def drop_toxic(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
-    """The rows of ``docs``, unchanged and with all their columns, whose score is below ``cut``."""
+    """The rows of ``docs``, unchanged and with all their columns, whose score is below ``cut``.
+    Repeated rows share a score, so all of them stay or go; an empty table gives no rows."""
     small_batches(docs.sparkSession)
     return docs.mapInArrow(lean(_keeper(model, docs.columns.index("text"), cut)), docs.schema)
