@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import line_dedup, mixing, ngram_join, sentencepiece_codec, toxicity
-from cairn.llm.common import scratch_root, table
+from cairn.llm.common import delete, scratch_root, scratch_tables, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,15 +61,21 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", tokenize),
 ]
 
-#: SQL can express neither the classifier nor the encoding; the stages are tested against brute force.
+#: SQL can express neither the classifier nor the encoding; tests/llm/test_pipeline.py checks each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again. What a stage
+    wrote for itself, and its predecessor's rows, go as soon as its own rows are written."""
     docs = table(spark, sf_dir, "documents")
     base = f"{scratch_root(spark)}/cairn/pipeline-{uuid.uuid4().hex}"
+    last = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        with scratch_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if last:
+            delete(spark, f"{base}/{last}")
+        last = name
     return docs
