@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import asyncio
+import json
 import threading
 import time
 from collections import Counter
@@ -202,9 +203,7 @@ class Collection:
         if v.sparse:
             return vectors.top(vectors.scored_sparse(rows, v.name, probe, metric), q.topk, floor=floor)
         index = v.index
-        if index and index.kind != "flat" and not q.params.get("is_linear") and index["metric"] == metric and (saved := self._index(v.name)) is not None:
-            # Written once, read twice; no broadcast is asked for, as the keys grow with the lists probed.
-            near = self._kept(ann.candidates(saved, index, probe, metric, q.topk, q.params, rows.select(PK) if q.filter else None))
+        if index and index.kind != "flat" and not q.params.get("is_linear") and index["metric"] == metric and (near := self._near(v.name, index, probe, q, rows.select(PK) if q.filter else None)) is not None:
             ranked = vectors.top(vectors.scored_dense(rows.join(near, PK, "left_semi"), v.name, probe, metric), q.topk, floor=floor)
             # Too few candidates: the exact scan decides.
             if near.count() >= q.topk:
@@ -419,17 +418,40 @@ class Collection:
         """``df`` computed once for several uses."""
         return df.checkpoint() if self._store.spark.conf.get("spark.checkpoint.dir", None) else df.persist()
 
+    def _covering(self, name: str) -> tuple[str, int] | None:
+        """The folder of a field's derived tables and how many parts of this revision they cover: those of this
+        schema whose parts this revision begins with. A checkpoint ends that until the next rebuild."""
+        start = f"index-{name}-{self.schema.digest():08x}-"
+        for folder in sorted((n for n in self._store.names() if n.startswith(start)), reverse=True):
+            if self._store.exists(f"{folder}/_ready") and self._store.exists(f"{folder}/_parts"):
+                parts = json.loads(self._store.read_text(f"{folder}/_parts"))
+                if [list(p) for p in self._manifest.parts[: len(parts)]] == parts:
+                    return folder, len(parts)
+        return None
+
     def _text_index(self, name: str) -> fts.TextIndex | None:
-        """A text field's postings, if they are of this revision and schema; otherwise queries scan."""
-        folder = self._index_name(name)
-        if not self._store.exists(f"{folder}/_ready"):
+        """A text field's postings, with later changes laid over them; None if queries must scan."""
+        if (found := self._covering(name)) is None:
             return None
-        return fts.TextIndex.read(self._store.spark, f"{self._store.root}/{folder}", self._store.read_text(f"{folder}/_ready"))
-
-    def _index(self, name: str) -> ann.SavedIndex | None:
-        """A field's derived tables, if they are of this revision and schema."""
-        folder = self._index_name(name)
-        return ann.load(self._store, folder) if self._store.exists(f"{folder}/_ready") else None
+        folder, covered = found
+        index = fts.TextIndex.read(self._store.spark, f"{self._store.root}/{folder}", self._store.read_text(f"{folder}/_ready"))
+        if covered == len(self._manifest.parts):
+            return index
+        added, gone = self._store.changes(self._manifest, covered)
+        return index.overlaid(added, gone, name, _analyzer(self.schema.field(name)), PK)
+
+    def _near(self, name: str, index: IndexParams, probe: Any, q: SearchQuery, allowed: DataFrame | None) -> DataFrame | None:
+        """Candidate keys of a vector field: those of its index without the keys changed since, and what was
+        added since; None if there is no index to use."""
+        if (found := self._covering(name)) is None:
+            return None
+        folder, covered = found
+        near = ann.candidates(ann.load(self._store, folder), index, probe, index["metric"], q.topk, q.params, allowed)
+        if covered < len(self._manifest.parts):
+            added, gone = self._store.changes(self._manifest, covered)
+            near = near.select(PK).join(gone, PK, "left_anti").union(added.select(PK))
+        # Computed once for two uses; no broadcast is asked for, as the keys grow with the lists probed.
+        return self._kept(near)
 
     def rebuild_index(self, name: str) -> None:
         with self._mutex:
@@ -438,6 +460,7 @@ class Collection:
             for old in self._store.names():
                 if old.startswith(f"index-{name}-"):
                     self._store.delete(old)
+            self._store.write_text(f"{folder}/_parts", json.dumps([list(p) for p in self._manifest.parts]))
             if (v := self.schema.vector(name)) and v.index and v.index.kind != "flat":
                 ann.build(self._store, folder, self.documents().select(PK, F.col(name).cast("array<float>").alias("v")), v.index)
             elif (f := self.schema.field(name)) and f.index and f.index.kind == "fts":
@@ -460,7 +483,7 @@ class Collection:
     stats_snapshot = stats
 
     def health(self) -> dict[str, Any]:
-        stale = [f.name for f in self.schema.vectors if f.index and f.index.kind != "flat" and self._index(f.name) is None]
+        stale = [f.name for f in self.schema.vectors if f.index and f.index.kind != "flat" and (self._covering(f.name) or ("", -1))[1] < len(self._manifest.parts)]
         return {"open": self._open, "writable": not self._options.read_only, "stale_indexes": stale}
 
     def start_maintenance(self, interval: float = 60.0) -> Maintenance:

@@ -86,6 +86,40 @@ for _name, _text in (
     _add(f"{_name}_indexed", partial(_indexed, _text), _scan)
 
 
+def _overlaid_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after changes that the stored postings do not hold."""
+    fields = (FieldSchema("text", "string", True), FieldSchema("lang", "string", True))
+    c = Collection.create(spark, _folder(spark), CollectionSchema("documents", fields))
+    c.upsert_frame(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias(PK), "text", "lang"), insert_only=True)
+    c.create_index("text", IndexParams("fts"))
+    c.delete(["1", "2", "3"])
+    c.upsert([{"id": "5", "text": "erea thanea", "lang": "en"}, {"id": "900001", "text": "idiot erea", "lang": "en"}])
+    out = c.query(query_string("text", "erea thanea idiot", 20))
+    c.close()
+    return out.select(F.col(PK).cast("long").alias("doc_id"), F.round(F.col("_score").cast("double") + 0.0, 4).alias("score"))
+
+
+_CHANGED = "FROM (SELECT doc_id, lang, text FROM documents WHERE doc_id NOT IN (1, 2, 3, 5) UNION ALL SELECT 5, 'en', 'erea thanea' UNION ALL SELECT 900001, 'en', 'idiot erea')"
+_add("bm25_or_overlaid", _overlaid_text, ORACLE_SQL["bm25_or_indexed"].replace("FROM documents", _CHANGED))
+
+
+def _overlaid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search through an index after a delete and an update that it does not hold."""
+    c = _embeddings(spark, sf_dir)
+    c.create_index("embedding", IndexParams("ivf", {"n_lists": 8}))
+    probe = _probe(_table(spark, sf_dir, "embeddings"))
+    c.delete(["10", "11", "12"])
+    c.upsert([{"id": "13", "label": 0, "embedding": probe}])
+    out = c.query(dense("embedding", probe, 10).controls(nprobe=8))
+    c.close()
+    return out.select(F.col(PK).cast("long").alias("vec_id"), F.round(F.col("_score").cast("double") + 0.0, 4).alias("score"))
+
+
+_FIRST = "(SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))"
+_MOVED = f"(SELECT vec_id, CASE WHEN vec_id = 13 THEN {_FIRST} ELSE embedding END AS embedding, label FROM embeddings WHERE vec_id NOT IN (10, 11, 12)) e"
+_add("ivf_overlaid", _overlaid_vectors, _near_sql("cosine").replace("(SELECT vec_id, embedding, label FROM embeddings) e", _MOVED))
+
+
 def _customers(spark: SparkSession, sf_dir: str) -> Collection:
     fields = (FieldSchema("c_name", "string"), FieldSchema("c_nationkey", "int32", True), FieldSchema("c_acctbal", "double", True))
     c = Collection.create(spark, _folder(spark), CollectionSchema("customer", fields))

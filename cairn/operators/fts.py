@@ -35,12 +35,23 @@ def postings(df: DataFrame, text: str, analyzer: Analyzer, pk: str) -> DataFrame
     return tokens.select(pk, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("term", pk, "dl").agg(F.count("*").alias("tf"))
 
 
+def lengths(df: DataFrame, text: str, analyzer: Analyzer, pk: str) -> DataFrame:
+    """Key and dl, the number of tokens, of the documents that have the text."""
+    return df.where(F.col(text).isNotNull()).select(pk, F.size(analyzer.column(F.col(text))).alias("dl"))
+
+
+def _counted(found: DataFrame) -> tuple[int, int]:
+    return tuple(found.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first())
+
+
 @dataclass(frozen=True)
 class TextIndex:
-    """Postings (term, key, dl, tf) and vocabulary (term, df) in term order, documents and tokens in all."""
+    """Postings (term, key, dl, tf) and vocabulary (term, df) in term order, lengths (key, dl) of all documents
+    that have the text, their number, and that of their tokens."""
 
     postings: DataFrame
     vocabulary: DataFrame
+    lengths: DataFrame
     documents: float
     tokens: float
 
@@ -52,13 +63,24 @@ class TextIndex:
         postings(df, text, analyzer, pk).repartitionByRange("term", pk).sortWithinPartitions("term").write.parquet(f"{folder}/postings")
         stored = spark.read.parquet(f"{folder}/postings")
         stored.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/vocabulary")
-        documents = df.where(F.col(text).isNotNull()).count()
-        return json.dumps({"documents": documents, "tokens": stored.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]})
+        lengths(df, text, analyzer, pk).write.parquet(f"{folder}/lengths")
+        return json.dumps(dict(zip(("documents", "tokens"), _counted(spark.read.parquet(f"{folder}/lengths")), strict=True)))
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str, facts: str) -> TextIndex:
         known = json.loads(facts)
-        return cls(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/vocabulary"), float(known["documents"]), float(known["tokens"]))
+        return cls(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/vocabulary"), spark.read.parquet(f"{folder}/lengths"), float(known["documents"]), float(known["tokens"]))
+
+    def overlaid(self, added: DataFrame, gone: DataFrame, text: str, analyzer: Analyzer, pk: str) -> TextIndex:
+        """The index after changes: without the documents whose keys are ``gone``, with those ``added``. Only
+        the changes are analyzed, and all statistics stay exact."""
+        fresh, taken = postings(added, text, analyzer, pk), self.postings.join(gone, pk, "left_semi")
+        counts = lambda p, sign: p.groupBy("term").agg((F.count("*") * sign).alias("df"))
+        vocabulary = self.vocabulary.unionByName(counts(fresh, 1)).unionByName(counts(taken, -1)).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        new, old = lengths(added, text, analyzer, pk), self.lengths.join(gone, pk, "left_semi")
+        (n, plus), (m, minus) = _counted(new), _counted(old)
+        kept = lambda df: df.join(gone, pk, "left_anti")
+        return TextIndex(kept(self.postings).unionByName(fresh), vocabulary, kept(self.lengths).unionByName(new), self.documents + n - m, self.tokens + plus - minus)
 
 
 def _needs_all(node: Node) -> bool:

@@ -124,6 +124,16 @@ class Store:
             docs = docs.join(last, PK, "left").where(F.col("_gone").isNull() | (F.col("_seq") >= F.col("_gone")))
         return docs.select(*schema.names)
 
+    def changes(self, manifest: Manifest, covered: int) -> tuple[DataFrame, DataFrame]:
+        """What the parts from number ``covered`` on change: the documents that they add and that are still
+        there, and the keys of earlier documents that they delete or replace."""
+        schema = manifest.schema.spark
+        keys = [self.spark.read.schema(f"{PK} string").parquet(f"{self.root}/{k}") for _, k in manifest.parts[covered:] if k]
+        gone = reduce(DataFrame.unionByName, keys).distinct() if keys else self.spark.createDataFrame([], f"{PK} string")
+        # Earlier parts without rows: their keys can delete nothing here.
+        later = replace(manifest, parts=tuple((None, None) for _ in range(covered)) + tuple(manifest.parts[covered:]))
+        return self.table(later).select(*schema.names), gone
+
     def age(self, name: str) -> float:
         """Seconds since a file or directory was written."""
         return time.time() - self._fs.getFileStatus(self._path(f"{self.root}/{name}")).getModificationTime() / 1000

@@ -138,20 +138,51 @@ def test_changes_and_revisions(spark, tmp_path):
 def test_stored_postings_equal_the_scan(spark, tmp_path):
     rng = random.Random(8)
     words = ["red", "green", "blue", "bluet", "rd", "deep", "deeper", "sea", "seas", "sky"]
-    texts = [None if i % 17 == 0 else " ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for i in range(120)]
+    texts = [None if i % 17 == 0 else " ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for i in range(90)]
     c = Collection.create(spark, str(tmp_path / "t"), CollectionSchema("t", (FieldSchema("body", "string", True), FieldSchema("n", "int32"))))
     c.upsert_frame(spark.createDataFrame([(f"k{i}", t, i) for i, t in enumerate(texts)], f"{PK} string, body string, n int"))
-    queries = ["red", "red blue -sea", "+deep sky", '"deep sea"', '"sea deep"~3 red', "de*p* s?a", "blue~1", "[blue TO green}", "(red OR sky) AND deep NOT blue~1", "red^3 absent", "absent", "* -red", "s* AND NOT sea"]
-    asked = [query_string("body", q, 50, operator).where(w) for q in queries for operator, w in (("or", None), ("and", "n < 60"))]
+    queries = ["red blue -sea", '"sea deep"~3 +sky', "de*p* s?a", "blue~1 [blue TO green}", "(red OR sky) AND deep NOT blue~1", "red^3 absent", "* -red"]
+    asked = [query_string("body", q, 50, operator).where(w) for q, operator, w in zip(queries, ["or", "and"] * 4, [None, None, "n < 60"] * 3, strict=False)]
     shown = lambda: [[(r[PK], r["_score"]) for r in c.query(q).collect()] for q in asked]
     scans = shown()
     c.create_index("body", IndexParams("fts"))
-    assert c._text_index("body") is not None and shown() == scans and sum(map(len, scans)) > 200
-    c.delete(["k1"])
-    assert c._text_index("body") is None  # of an older revision: queries scan
+    assert c._text_index("body") is not None and shown() == scans and sum(map(len, scans)) > 100
+    c.delete(["k1", "k2", "absent"])
+    c.upsert([{"id": "k3", "body": "deep blue sea", "n": 3}, {"id": "new", "body": "red skyline sea", "n": 200}, {"id": "k4", "body": None, "n": 4}])
+    c.delete(["new", "k5"])
+    c.insert([{"id": "new", "body": "blues sky red", "n": 1}, {"id": "none", "body": "", "n": 2}])
+    overlaid = shown()  # the stored postings with four changes laid over them
+    folder, covered = c._covering("body")
+    assert covered < len(c._manifest.parts)
+    c._store.delete(f"{folder}/_ready")
+    assert c._text_index("body") is None and shown() == overlaid != scans
     c.destroy()
 
 
+def test_vector_indexes_stay_in_use_after_changes(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    row = lambda i: {"id": f"k{i}", "v": [float(x) for x in rng.normal(size=8)]}
+    for kind, controls in (("ivf", {"nprobe": 4}), ("hnsw", {"ef": 1000})):
+        schema = CollectionSchema("v", (), (VectorSchema("v", "vector_fp32", 8, IndexParams(kind, {"n_lists": 4} if kind == "ivf" else {})),))
+        c = Collection.create(spark, str(tmp_path / kind), schema)
+        c.insert([row(i) for i in range(80)])
+        c.rebuild_index("v")
+        c.delete([f"k{i}" for i in range(10)])
+        c.upsert([row(i) for i in range(5, 25)])
+        c.insert([row(i) for i in range(100, 110)])
+        _, covered = c._covering("v")
+        assert covered < len(c._manifest.parts)
+        for _ in range(3):
+            q = dense("v", [float(x) for x in rng.normal(size=8)], 12)
+            shown = lambda q, c=c: [(r[PK], r["_score"]) for r in c.query(q).collect()]
+            exact = shown(q.controls(is_linear=True))
+            assert shown(q.controls(**controls)) == exact and len(exact) == 12
+        assert c.stats().get("fallbacks", 0) == 0
+        c.flush()
+        assert c._covering("v") is None
+        c.destroy()
+
+
 def test_a_pinned_revision_survives_changes_and_flush(spark, tmp_path):
     path = str(tmp_path / "p")
     c = Collection.create(spark, path, CollectionSchema("p", (FieldSchema("n", "int64"),)))
