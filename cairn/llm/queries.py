@@ -130,8 +130,8 @@ WITH u AS (SELECT doc_id, unnest(l) AS u, generate_subscripts(l, 1) AS n FROM (S
 p AS (SELECT *, CAST(coalesce(sum(length(u)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a,
   coalesce(count(*) FILTER (u LIKE '%' || chr(10)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line,
   [x FOR x IN regexp_split_to_array(lower(u), '{space}+') IF x <> ''] AS w FROM u WHERE u <> ''),
-k AS (SELECT *, CASE WHEN len(w) >= {unit_dedup.UNIT_WORDS} THEN nullif(trim(array_to_string(w, ' '), '.,;:!?-*#|"''() '), '') END AS key FROM p),
-g AS (SELECT *, key IS NOT NULL AND row_number() OVER (PARTITION BY key ORDER BY doc_id, n) > 1 AS later, count(key) OVER (PARTITION BY doc_id ORDER BY n) AS unit FROM k),
+k AS (SELECT *, CASE WHEN len(list_distinct(w)) >= {unit_dedup.UNIT_WORDS} THEN nullif(trim(array_to_string(w, ' '), '.,;:!?-*#|"''() '), '') END AS key FROM p),
+g AS (SELECT *, key IS NOT NULL AND row_number() OVER (PARTITION BY key ORDER BY doc_id, n) > 1 AND (len(w) >= {unit_dedup.MIN_WORDS} OR min(doc_id) OVER (PARTITION BY key) <> doc_id) AS later, count(key) OVER (PARTITION BY doc_id ORDER BY n) AS unit FROM k),
 r AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id, later ORDER BY n) AS run FROM g),
 s AS (SELECT *, later AND sum(len(w)) OVER (PARTITION BY doc_id, later, run) >= {unit_dedup.MIN_WORDS} AS gone FROM r),
 t AS (SELECT *, bool_and(gone) OVER (PARTITION BY doc_id, line) AS all_gone FROM s)

@@ -2,10 +2,11 @@
 
 Method. Texts are tiled into units: clauses (pieces of a line that end in punctuation and have
 ``UNIT_WORDS`` words or more), whole lines, or paragraphs between blank lines. A unit of ``UNIT_WORDS``
-words or more is normalised (case, white space, outer punctuation) and hashed to 128 bits. Digests are
+different words or more (one word over and over is no passage) is normalised (case, white space, outer punctuation) and hashed to 128 bits. Digests are
 grouped over the whole corpus; the occurrence with the smallest rank (doc_id, then place) stays. Later
 occurrences go where adjacent ones add up to a passage of ``MIN_WORDS`` words, so a passage is found
-wherever its lines are broken and whatever stands around it, and a short stock phrase stays. Groups
+wherever its lines are broken and whatever stands around it, and a short stock phrase stays. What a
+document repeats of itself goes only where one unit is that long. Groups
 are combined before they meet and dealt back under salts, so a unit that a third of all documents hold
 is never gathered in one task.
 """
@@ -51,12 +52,12 @@ def tiles(text: str, kind: str = "clause") -> list[tuple[int, int]]:
 
 
 def units(text: str, kind: str = "clause") -> Iterator[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of a text's units of ``UNIT_WORDS`` words or more, without the white space
-    around them."""
+    """(start, end, words, digest) of a text's units of ``UNIT_WORDS`` different words or more, without the white
+    space around them."""
     for a, b in tiles(text, kind):
         tile = text[a:b]
         words = [w for w in _SPACE.split(tile.lower()) if w]
-        if len(words) >= UNIT_WORDS and (plain := " ".join(words).strip(_OUTER)):
+        if len(set(words)) >= UNIT_WORDS and (plain := " ".join(words).strip(_OUTER)):
             start = a + len(tile) - len(tile.lstrip(_WHITE))
             yield start, a + len(tile.rstrip(_WHITE)), len(words), blake2b(plain.encode(), digest_size=16).digest()
 
@@ -81,7 +82,7 @@ def _identity(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
-def repeated_units(docs: DataFrame, kind: str = "clause") -> DataFrame:
+def repeated_units(docs: DataFrame, kind: str = "clause", min_words: int = MIN_WORDS) -> DataFrame:
     """_id, _th, later: each document's later occurrences (unit, start, end, words, keep_id), in order."""
     small_batches(docs.sparkSession)
     # Rows that repeat id and text are one document; equal rows of units fold into one.
@@ -96,7 +97,8 @@ def repeated_units(docs: DataFrame, kind: str = "clause") -> DataFrame:
     tied = met.where(~F.col("again") & (F.col("_id") == F.col("keep_id")))
     first = dealt_back(tied, ["high", "low"], {"least": F.min("_th"), "most": F.max("_th")}, {"least": F.min("least"), "most": F.max("most")}).where("least <> most")
     second = tied.join(first, ["high", "low", "salt"]).where(F.col("_th") != F.col("least"))
-    later = met.where(F.col("again") | (F.col("_id") != F.col("keep_id"))).unionByName(second.select(*met.columns))
+    # A unit first met in the same document is later there only if it is a passage by itself.
+    later = met.where((F.col("again") & (F.col("words") >= min_words)) | (F.col("_id") != F.col("keep_id"))).unionByName(second.select(*met.columns))
     return later.groupBy("_id", "_th").agg(F.sort_array(F.collect_set(F.struct("unit", "start", "end", "words", "keep_id"))).alias("later"))
 
 
@@ -148,8 +150,8 @@ def dedup_units(docs: DataFrame, kind: str = "clause", min_words: int = MIN_WORD
     an array of (start, end, keep_id) with offsets in code points of the original text.
 
     Null texts stay null and have no units; a null id ranks last, documents of one id by text hash; of
-    repeated rows (same id and text) all keep the same units. A unit that repeats inside its text is
-    later there. An empty table gives no rows; other columns are not returned.
+    repeated rows (same id and text) all keep the same units. What repeats only inside one text (or texts
+    of one id) goes where a single unit has ``min_words`` words: a refrain of short lines stays. An empty table gives no rows; other columns are not returned.
     """
-    rows = _identity(docs).join(repeated_units(docs, kind), ["_id", "_th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("later", F.array().cast(_LATER)).alias("later"))
+    rows = _identity(docs).join(repeated_units(docs, kind, min_words), ["_id", "_th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("later", F.array().cast(_LATER)).alias("later"))
     return rows.mapInArrow(lean(_cutter(kind, min_words)), f"doc_id long, text string, removed {_REMOVED}")

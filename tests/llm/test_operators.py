@@ -165,7 +165,7 @@ def plain_units(rows, min_words=unit_dedup.MIN_WORDS):
     first, out = {}, {}
     for i, t in sorted({(i, t) for i, t, _ in rows}, key=lambda r: (r[0] is None, r[0])):
         own = list(unit_dedup.units(t or ""))
-        later = [first.setdefault(d, (i, n)) != (i, n) for n, (_, _, _, d) in enumerate(own)]
+        later = [(f := first.setdefault(d, (i, n))) != (i, n) and (f[0] != i or w >= min_words) for n, (_, _, w, d) in enumerate(own)]
         gone, n = [], 0
         while n < len(own):
             m = n
