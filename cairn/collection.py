@@ -14,6 +14,8 @@ from typing import Any
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from cairn import config
+from cairn.config import NO_CEILINGS, Config
 from cairn.errors import CairnError, invalid, unsupported
 from cairn.functions.analysis import Analyzer
 from cairn.functions.scoring import radius_floor
@@ -21,6 +23,7 @@ from cairn.operators import ann, fts, fusion
 from cairn.operators import vector as vectors
 from cairn.plans import documents, filters, query_string
 from cairn.plans.queries import GroupByQuery, MultiQuery, SearchQuery, metric_of, validated
+from cairn.plans.records import Record, plain
 from cairn.schema import NULLS, PK, CollectionSchema, FieldSchema, IndexParams
 from cairn.sources.revisions import Manifest, Store, evolved
 
@@ -32,9 +35,11 @@ class Limits:
     documents: int | None = None
     batch: int | None = None
     candidates: int | None = None
+    #: Bytes of the current revision's parts and of derived tables.
+    bytes: int | None = None
 
     def __post_init__(self) -> None:
-        if any(x is not None and x <= 0 for x in (self.documents, self.batch, self.candidates)):
+        if any(x is not None and x <= 0 for x in (self.documents, self.batch, self.candidates, self.bytes)):
             raise invalid("limits must be positive")
 
 
@@ -42,9 +47,8 @@ class Limits:
 class Options:
     read_only: bool = False
     limits: Limits = field(default_factory=Limits)
-    #: Accepted for compatibility: Spark's file sources decide how bytes are read.
-    io_backend: str = "auto"
-    durability: str = "commit"
+    #: What differs from the process's defaults (``cairn.config``); None takes those.
+    config: Config | None = None
 
 
 @dataclass(frozen=True)
@@ -61,6 +65,7 @@ class Collection:
     def __init__(self, store: Store, manifest: Manifest, options: Options) -> None:
         self._store, self._manifest, self._options = store, manifest, options
         self._open, self._mutex, self._counts = True, threading.RLock(), Counter()
+        self._config = options.config or config.current()
 
     # Lifecycle.
 
@@ -88,6 +93,11 @@ class Collection:
         if not options.read_only:
             store.lock()
         out = cls(store, manifest, options)
+        try:
+            out._admit_stored()
+        except CairnError:
+            out.close()
+            raise
         if out.documents().groupBy(PK).count().where("count > 1").limit(1).count():
             out.close()
             raise CairnError("corruption", "a key repeats")
@@ -125,6 +135,11 @@ class Collection:
         self._writable()
         if len(self._manifest.parts) > 1:
             name = self._store.write(self.documents())
+            try:
+                self._config.ceilings.admit("snapshot_bytes", self._store.size(name))
+            except CairnError:
+                self._store.delete(name)
+                raise
             self._commit(evolved(self._manifest, parts=((name, None),)))
 
     def vacuum(self, retain_seconds: float = 7 * 86_400) -> None:
@@ -142,10 +157,42 @@ class Collection:
         if self._options.read_only:
             raise CairnError("permission_denied", "the collection is open for reading only")
 
+    def _bytes(self, parts: Iterable[tuple[str | None, str | None]]) -> int:
+        return sum(self._store.size(n) for part in parts for n in part if n)
+
+    def _admit_stored(self) -> None:
+        """An error if what is to be opened is above a ceiling: the first part is the last checkpoint."""
+        ceilings, parts = self._config.ceilings, self._manifest.parts
+        if ceilings != NO_CEILINGS:
+            ceilings.admit("snapshot_bytes", self._bytes(parts[:1]))
+            ceilings.admit("wal_replay_bytes", self._bytes(parts[1:]))
+
+    def _admit(self, manifest: Manifest) -> None:
+        """An error, and none of the new parts left, if a revision would grow beyond a limit."""
+        limits, old = self._options.limits, self._manifest
+        new = [p for p in manifest.parts if p not in old.parts]
+        over = limits.documents is not None and manifest.count > max(limits.documents, old.count)
+        if not over and limits.bytes is not None and any(d for d, _ in new):
+            indexes = sum(self._store.size(n) for n in self._store.names() if n.startswith("index-"))
+            over = self._bytes(manifest.parts) + indexes > limits.bytes
+        if over:
+            for name in (n for part in new for n in part if n):
+                self._store.delete(name)
+            raise CairnError("resource_exhausted", f"the collection is limited to {limits}")
+
     def _commit(self, manifest: Manifest) -> None:
+        self._admit(manifest)
         self._store.commit(manifest)
         self._manifest = manifest
 
+    def _changed(self, manifest: Manifest) -> None:
+        """Commit a change of documents, and checkpoint if the configuration asks for it by now."""
+        self._commit(manifest)
+        self._counts["commits"] += 1
+        parts, c = self._manifest.parts[1:], self._config
+        if parts and (c.checkpoint_parts and len(parts) >= c.checkpoint_parts or c.checkpoint_bytes and self._bytes(parts) >= c.checkpoint_bytes):
+            self.flush()
+
     # Reading.
 
     def documents(self) -> DataFrame:
@@ -248,12 +295,16 @@ class Collection:
         asked = self._store.spark.createDataFrame([(k,) for k in pks], f"{PK} string")
         return {r[PK]: r for r in self.documents().join(F.broadcast(asked), PK, "left_semi").collect()}
 
-    def _write(self, docs: list[dict[str, Any]], how: str) -> list[WriteResult]:
+    def _admit_batch(self, n: int) -> None:
+        if (most := self._options.limits.batch) is not None and n > most:
+            raise CairnError("resource_exhausted", f"a batch holds at most {most} documents")
+
+    def _write(self, docs: list[dict[str, Any] | Record], how: str) -> list[WriteResult]:
         """Validate a batch, accept what is good, commit once."""
         with self._mutex:
             self._writable()
-            if (most := self._options.limits.batch) is not None and len(docs) > most:
-                raise CairnError("resource_exhausted", f"a batch holds at most {most} documents")
+            self._admit_batch(len(docs))
+            docs = [plain(d) for d in docs]
             keys = [k for d in docs if isinstance(k := d.get("id", d.get(PK)), str)]
             there = self._present(keys) if keys else {}
             results, rows, seen = [], [], set()
@@ -280,22 +331,18 @@ class Collection:
             return results
 
     def _append(self, frame: DataFrame | None, gone: DataFrame | None, grown: int) -> None:
-        count = self._manifest.count + grown
-        if (most := self._options.limits.documents) is not None and count > most:
-            raise CairnError("resource_exhausted", f"the collection holds at most {most} documents")
         part = (self._store.write(frame) if frame is not None else None, self._store.write(gone, "gone") if gone is not None else None)
-        self._commit(evolved(self._manifest, parts=(*self._manifest.parts, part), count=count))
-        self._counts["commits"] += 1
+        self._changed(evolved(self._manifest, parts=(*self._manifest.parts, part), count=self._manifest.count + grown))
 
-    def insert(self, docs: list[dict[str, Any]]) -> list[WriteResult]:
+    def insert(self, docs: list[dict[str, Any] | Record]) -> list[WriteResult]:
         """Add documents with new keys; one result per document."""
         return self._write(docs, "insert")
 
-    def update(self, docs: list[dict[str, Any]]) -> list[WriteResult]:
+    def update(self, docs: list[dict[str, Any] | Record]) -> list[WriteResult]:
         """Change the given fields of existing documents; fields cannot be removed."""
         return self._write(docs, "update")
 
-    def upsert(self, docs: list[dict[str, Any]]) -> list[WriteResult]:
+    def upsert(self, docs: list[dict[str, Any] | Record]) -> list[WriteResult]:
         """Put whole documents in place of any with their keys."""
         return self._write(docs, "upsert")
 
@@ -316,11 +363,12 @@ class Collection:
                 self._store.delete(name)
                 raise invalid("rows lack required fields or repeat keys")
             gone = self._store.write(written.select(PK), "gone") if old else None
-            self._commit(evolved(self._manifest, parts=(*self._manifest.parts, (name, gone)), count=self._manifest.count + facts[0] - old))
+            self._changed(evolved(self._manifest, parts=(*self._manifest.parts, (name, gone)), count=self._manifest.count + facts[0] - old))
 
     def delete(self, pks: list[str]) -> list[WriteResult]:
         with self._mutex:
             self._writable()
+            self._admit_batch(len(pks))
             there = self._present(pks)
             results, gone = [], set()
             for k in pks:
@@ -336,7 +384,12 @@ class Collection:
             self._writable()
             name = self._store.write(filters.where(self.documents(), text).select(PK), "gone")
             n = self._store.spark.read.parquet(f"{self._store.root}/{name}").count()
-            self._commit(evolved(self._manifest, parts=(*self._manifest.parts, (None, name)), count=self._manifest.count - n))
+            try:
+                self._admit_batch(n)
+            except CairnError:
+                self._store.delete(name)
+                raise
+            self._changed(evolved(self._manifest, parts=(*self._manifest.parts, (None, name)), count=self._manifest.count - n))
 
     # Changing the schema: the new table is written and committed with it.
 
@@ -466,6 +519,20 @@ class Collection:
             elif (f := self.schema.field(name)) and f.index and f.index.kind == "fts":
                 facts = fts.TextIndex.build(self.documents(), name, _analyzer(f), PK, f"{self._store.root}/{folder}")
                 self._store.write_text(f"{folder}/_ready", facts)
+            try:
+                self._admit_index(name, folder)
+            except CairnError:
+                self._store.delete(folder)
+                raise
+
+    def _admit_index(self, name: str, folder: str) -> None:
+        """An error if a field's derived tables are above a ceiling or the byte limit."""
+        size, v, most = self._store.size(folder), self.schema.vector(name), self._options.limits.bytes
+        self._config.ceilings.admit("index_cache_bytes", size)
+        if v and v.index and v.index.kind == "diskann":
+            self._config.ceilings.admit("diskann_file_bytes", size)
+        if most is not None and self._bytes(self._manifest.parts) + sum(self._store.size(n) for n in self._store.names() if n.startswith("index-")) > most:
+            raise CairnError("resource_exhausted", f"the collection is limited to {most} bytes")
 
     def optimize(self) -> None:
         """Checkpoint and rebuild every index."""

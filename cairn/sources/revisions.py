@@ -134,6 +134,10 @@ class Store:
         later = replace(manifest, parts=tuple((None, None) for _ in range(covered)) + tuple(manifest.parts[covered:]))
         return self.table(later).select(*schema.names), gone
 
+    def size(self, name: str) -> int:
+        """Bytes of a file or directory."""
+        return self._fs.getContentSummary(self._path(f"{self.root}/{name}")).getLength()
+
     def age(self, name: str) -> float:
         """Seconds since a file or directory was written."""
         return time.time() - self._fs.getFileStatus(self._path(f"{self.root}/{name}")).getModificationTime() / 1000
