@@ -134,7 +134,7 @@ class Collection:
         ``vacuum``; nothing to do if the revision is one directory."""
         self._writable()
         if len(self._manifest.parts) > 1:
-            name = self._store.write(self.documents())
+            name = self._store.write(self._clustered(self.documents()))
             try:
                 self._config.ceilings.admit("snapshot_bytes", self._store.size(name))
             except CairnError:
@@ -142,6 +142,12 @@ class Collection:
                 raise
             self._commit(evolved(self._manifest, parts=((name, None),)))
 
+    def _clustered(self, df: DataFrame) -> DataFrame:
+        """Rows by the first scalar with an inverted index, so that filters on it skip files and row groups. The
+        key splits a value that many rows share."""
+        first = next((f.name for f in self.schema.fields if f.index and f.index.kind == "invert" and not f.type.startswith("array_")), None)
+        return df if first is None else df.repartitionByRange(first, PK).sortWithinPartitions(first, PK)
+
     def vacuum(self, retain_seconds: float = 7 * 86_400) -> None:
         """Delete what only revisions older than ``retain_seconds`` name. A reader, or a DataFrame not yet
         run, that is older than that loses its files, as with any store of immutable parts."""

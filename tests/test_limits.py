@@ -1,11 +1,13 @@
 """Configuration, ceilings, limits and typed records."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from cairn import config
 from cairn.collection import Collection, Limits, Options
 from cairn.config import Ceilings, Config
 from cairn.errors import CairnError
+from cairn.plans.queries import dense
 from cairn.plans.records import Record, decode_fp16, encode_fp16
 from cairn.schema import PK, SCALARS, VECTORS, CollectionSchema, FieldSchema, IndexParams, VectorSchema
 
@@ -108,3 +110,24 @@ def test_ceilings_and_checkpoints(spark, tmp_path):
     c.flush()
     assert c.stats()["parts"] == 1 and c.count() == 4
     c.close()
+
+
+def test_checkpoints_are_in_index_order(spark, tmp_path):
+    schema = CollectionSchema("sorted", (FieldSchema("n", "int32", True, IndexParams("invert")),), (VectorSchema("v", "vector_fp32", 1),))
+    c = Collection.create(spark, str(tmp_path / "c"), schema)
+    for part in range(2):
+        # A third of the rows share a value, some have none.
+        rows = [(f"k{part}-{i:03}", None if i % 10 == 9 else 50 if i % 3 == 0 else (7 * i + part) % 100, [float(i)]) for i in range(120)]
+        c.upsert_frame(spark.createDataFrame(rows, f"{PK} string, n int, v array<float>"))
+    before = sorted(c.documents().select(PK, "n").collect(), key=lambda r: r[PK])
+    found = sorted(r[PK] for r in c.query(dense("v", [1.0], 1000).where("n == 50")).collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        c.flush()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(c.documents().select(PK, "n").collect(), key=lambda r: r[PK]) == before
+    assert sorted(r[PK] for r in c.query(dense("v", [1.0], 1000).where("n == 50")).collect()) == found
+    files = c.documents().groupBy(F.input_file_name().alias("f")).agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low is not null").orderBy("low", "high").collect()
+    assert len(files) > 1 and all(a.high <= b.low for a, b in zip(files, files[1:], strict=False))
+    c.close()
