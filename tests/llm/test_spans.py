@@ -121,6 +121,76 @@ def test_streams_of_any_size_and_several_members(monkeypatch):
     assert "cut" in [s[0] for s in layers(packed(base64.b64encode(bytes(range(256)) * 3)))]
 
 
+def test_regions_of_any_length_inside_streams_are_opened(monkeypatch):
+    inner = b"password=hunter2secret"
+    b64 = lambda data: base64.b64encode(data)
+    packed = lambda data: base64.b64encode(gzip.compress(data, mtime=0)).decode()
+    lines = lambda blob, n: b"\n".join(blob[k : k + n] for k in range(0, len(blob), n))
+    escaped = lambda blob: b"".join(b"%%%02X" % c for c in blob)
+    words = b" ".join(b"%d" % (i * 7919 % 10007) for i in range(400))
+    stream = b64(gzip.compress(words + inner, mtime=0))
+    monkeypatch.setattr(secrets, "WINDOW", 200)
+    monkeypatch.setattr(secrets, "OVERLAP", 80)
+    twice = b64(gzip.compress(b"first " + stream + b" " + words, mtime=0))
+    for region in (stream, lines(stream, 64), escaped(stream), escaped(escaped(stream)), lines(twice, 76), b64(words + b" " + stream)):
+        assert len(region) > 800
+        for before in range(0, 400, 57):
+            blob = packed(b"w " * before + b"\n" + region + b"\n" + b" v" * 50)
+            assert ("assign", 0, len(blob)) in layers(blob), (region[:20], before)
+    for text in (b"token" + b" " * 999 + b"=" + b" " * 999 + b"abcdef", b"\0" * 999 + inner + b"\0" * 999, b"\\x74oken%3" * 99 + b"\\x74oken%3Dabcdef"):
+        assert layers(packed(text)) == [("assign", 0, len(packed(text)))]
+    assert layers(packed(b"token=abc, " * 99)) == []
+    # What comes before a fault.
+    broken = gzip.compress(words + inner, mtime=0)
+    blob = b64(broken[:-8] + b"\0" * 8).decode()
+    assert ("assign", 0, len(blob)) in layers(blob)
+
+
+def test_regions_longer_than_a_window_inside_streams():
+    rng = random.Random(3)
+    data = gzip.compress(rng.randbytes(2_500_000)) + gzip.compress(b"password=hunter2secret")
+    blob = base64.b64encode(gzip.compress(b"z " * 1_500_000 + base64.b64encode(data) + b" z" * 100)).decode()
+    assert ("assign", 0, len(blob)) in layers(blob)
+
+
+def test_contents_in_pieces_equal_whole_ones(monkeypatch):
+    rng = random.Random(4)
+    blob = base64.b64encode(b"password=hunter2secret and more words to follow").decode()
+    packed = base64.b64encode(gzip.compress(b"token = abcdef12345 " * 3, mtime=0)).decode()
+    pieces = [*"aA=: '\"b9f-é\n\r%\\ux0", "\r\n", "token", "password", "AKIA", "ABCDEFGH1234567890", "0123456789ab", "   ", ": ", " = ", "%41", "%C3", "%A9", "%25", "25", "%0a"]
+    pieces += ["\\u0041", "\\ud83d", "\\ude00", "\\x5c", "x41", "\\u00", "%%32%35", blob, blob[:40], blob[:40] + "\n", blob[20:60] + "\r\n", blob[:48] + "\n", blob[:10] + "\n", packed, "z" * 50, "1" * 50 + "\n", "=="]
+
+    def plain(content):
+        if isinstance(content, secrets.Packed):
+            data = b"".join(content.blocks())
+            return data if secrets._is_stream(data) else data.decode("utf-8", "replace")
+        return content
+
+    def cut(text):
+        while text:
+            n = rng.choice((1, 2, 3, 7, 20, 50))
+            yield text[:n]
+            text = text[n:]
+
+    monkeypatch.setattr(secrets, "_pieces", cut)
+    for k in range(4000):
+        monkeypatch.setattr(secrets, "LEVELS", (8, 2, 1, 0)[k % 4])
+        monkeypatch.setattr(secrets, "WINDOW", rng.choice((17, 40, 64, 1000)))
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))
+        whole = [(x.text, {s[0] for s in secrets.base_secrets(x.text)}, {s[2] for s in secrets.blobs(x.text)}) for x in secrets._layers(secrets.Layer(text, [0], [(0, len(text), True)]))]
+        got = []
+        for layer in secrets._long_layers(text):
+            read, kinds, inner = [], set(), set()
+            scan, regions = secrets._Kinds(kinds), secrets._Regions(lambda _, x, inner=inner: inner.add(plain(x)))
+            for piece in layer:
+                read.append(piece)
+                scan.put(piece)
+                regions.put(piece, False)
+            regions.put("", True)
+            got.append(("".join(read), kinds, inner - {None}))
+        assert got == whole, text
+
+
 def test_wrapped_base64_and_other_bytes():
     blob = base64.b64encode(gzip.compress(b"".join(b"%d words, " % (i * 7919 % 1000) for i in range(60)) + b"password=hunter2secret", mtime=0)).decode()
     wrapped = "\n".join(blob[k : k + 64] for k in range(0, len(blob), 64))
