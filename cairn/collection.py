@@ -28,6 +28,10 @@ from cairn.schema import NULLS, PK, CollectionSchema, FieldSchema, IndexParams
 from cairn.sources.revisions import Manifest, Store, evolved
 
 
+#: Fixed value: so many (key, score) rows at most are sent to every task.
+BROADCAST_ROWS = 100_000
+
+
 @dataclass(frozen=True)
 class Limits:
     """Ceilings; None is unlimited."""
@@ -242,7 +246,9 @@ class Collection:
             analyzer, operator = _analyzer(self.schema.field(q.field_name)), q.params.get("default_operator", "or").lower()
             make = query_string.match_terms if q.route == "match_string" else lambda t, a, o: query_string.parse(t, a, q.field_name, o)
             tree = make(q.match_string or q.query_string, analyzer, operator)
-            return vectors.top(fts.search(docs, rows, q.field_name, tree, analyzer, PK, self._text_index(q.field_name)), q.topk)
+            best = vectors.top(fts.search(docs, rows, q.field_name, tree, analyzer, PK, self._text_index(q.field_name)), q.topk)
+            # Whole documents are read for the best alone.
+            return docs.join(F.broadcast(best) if q.topk <= BROADCAST_ROWS else best, PK)
         v = self.schema.vector(q.field_name)
         metric = metric_of(q, v)
         radius = q.radius if q.radius is not None else (q.params.get("radius") or None)
@@ -494,7 +500,7 @@ class Collection:
             return None
         folder, covered = found
         index = fts.TextIndex.read(self._store.spark, f"{self._store.root}/{folder}", self._store.read_text(f"{folder}/_ready"))
-        if covered == len(self._manifest.parts):
+        if index is None or covered == len(self._manifest.parts):
             return index
         added, gone = self._store.changes(self._manifest, covered)
         return index.overlaid(added, gone, name, _analyzer(self.schema.field(name)), PK)

@@ -86,12 +86,9 @@ class Analyzer:
     def column(self, text: Column) -> Column:
         """The tokens of a text column; null for null."""
         if self.tokenizer in ("standard", "whitespace") and set(self.filters) <= {"lowercase"}:
-            gap = r"[^\p{IsAlphabetic}\p{N}]+" if self.tokenizer == "standard" else r"[\p{IsWhite_Space}]+"
-            parts = F.filter(F.split(text, gap), lambda t: t != "")
-            if self.tokenizer == "standard":
-                size = self.longest
-                pieces = F.flatten(F.transform(parts, lambda t: F.transform(F.sequence(F.lit(0), F.floor((F.length(t) - 1) / size).cast("int")), lambda i: F.substring(t, i * size + 1, F.lit(size)))))
-                parts = F.when(F.exists(parts, lambda t: F.length(t) > size), pieces).otherwise(parts)
+            # A greedy repetition takes the pieces of a run that is too long, too.
+            token = rf"[\p{{IsAlphabetic}}\p{{N}}]{{1,{self.longest}}}" if self.tokenizer == "standard" else r"[^\p{IsWhite_Space}]+"
+            parts = F.regexp_extract_all(text, F.lit(token), F.lit(0))
             return F.transform(parts, F.lower) if self.filters else parts
         return F.pandas_udf(_tokens_of(self), "array<string>")(text)
 

@@ -2,16 +2,18 @@
 
 Without an index, statistics of the query's terms are a single global aggregation, and every row
 scores itself from its own token array: no shuffle. Only patterns (wildcard, fuzzy, range), whose terms
-are not known beforehand, group the matching tokens by term. An index holds the statistics, a vocabulary
-and postings in term order, so a search reads the row groups of its terms; texts are read for the
-documents found, and analyzed only to check phrases. Both ways give the same scores.
+are not known beforehand, group the matching tokens by term: each row first keeps those that a pattern may
+stand for. An index holds the statistics, a vocabulary and segments of postings in term order, so a search
+reads the pages of its terms; texts are analyzed only to check phrases. Both ways give the same scores.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +24,8 @@ from cairn.plans.query_string import Matcher, Node, osa_within
 
 K1, B = 1.2, 0.75
 _TOP = 1.7976931348623157e308
+#: Of stored indexes; others are not read.
+FORM = 2
 
 
 def vocabulary(df: DataFrame, text: str, analyzer: Analyzer) -> DataFrame:
@@ -29,10 +33,27 @@ def vocabulary(df: DataFrame, text: str, analyzer: Analyzer) -> DataFrame:
     return df.select(F.explode(F.array_distinct(analyzer.column(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+def _kept(value: Column) -> Column:
+    """One element exploded: Spark then keeps the value instead of computing it again at each use."""
+    return F.explode(F.array(value))
+
+
+def _runs(df: DataFrame, text: str, analyzer: Analyzer, pk: str) -> DataFrame:
+    """Key, dl, _t and _at: a document's tokens in order, and where each distinct one begins there. Null texts go."""
+    tokens = df.where(F.col(text).isNotNull()).select(pk, _kept(F.sort_array(analyzer.column(F.col(text)))).alias("_t"))
+    at = F.filter(F.sequence(F.lit(0), F.size("_t")), lambda i: (i < F.size("_t")) & ((i == 0) | (F.get("_t", i) != F.get("_t", i - 1))))
+    return tokens.select(pk, F.size("_t").alias("dl"), "_t", _kept(at).alias("_at"))
+
+
+def _counts() -> Column:
+    """(term, tf) of each distinct token, from _t and _at: what a document says of itself, so nothing is shuffled."""
+    end = lambda n: F.coalesce(F.get("_at", n + 1), F.size("_t"))
+    return F.transform("_at", lambda i, n: F.struct(F.get("_t", i).alias("term"), (end(n) - i).cast("long").alias("tf")))
+
+
 def postings(df: DataFrame, text: str, analyzer: Analyzer, pk: str) -> DataFrame:
-    """term, pk, tf, dl: the inverted index as a table, to be written sorted or bucketed by term."""
-    tokens = df.where(F.col(text).isNotNull()).select(pk, analyzer.column(F.col(text)).alias("_t"))
-    return tokens.select(pk, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("term", pk, "dl").agg(F.count("*").alias("tf"))
+    """Key, dl, term, tf: the inverted index as a table. Keys must be distinct."""
+    return _runs(df, text, analyzer, pk).select(pk, "dl", F.inline(_counts()))
 
 
 def lengths(df: DataFrame, text: str, analyzer: Analyzer, pk: str) -> DataFrame:
@@ -46,8 +67,8 @@ def _counted(found: DataFrame) -> tuple[int, int]:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Postings (term, key, dl, tf) and vocabulary (term, df) in term order, lengths (key, dl) of all documents
-    that have the text, their number, and that of their tokens."""
+    """Postings (term, key, dl, tf), vocabulary (term, df), lengths (key, dl) of all documents that have the text,
+    their number, and that of their tokens."""
 
     postings: DataFrame
     vocabulary: DataFrame
@@ -57,19 +78,24 @@ class TextIndex:
 
     @staticmethod
     def build(df: DataFrame, text: str, analyzer: Analyzer, pk: str, folder: str) -> str:
-        """Write an index; its facts, for ``read``. Ranges of terms, not hashes, are dealt to files, so a
-        search for a term opens one, and a term that most documents have may span several."""
+        """Write an index; its facts, for ``read``. Each task writes its documents' postings as one segment in
+        term order: no posting is shuffled, a search reads the pages of its terms in each segment, and a term
+        that most documents have is dealt out as they are. A row without a term stands for each document."""
         spark = df.sparkSession
-        postings(df, text, analyzer, pk).repartitionByRange("term", pk).sortWithinPartitions("term").write.parquet(f"{folder}/postings")
-        stored = spark.read.parquet(f"{folder}/postings")
-        stored.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/vocabulary")
-        lengths(df, text, analyzer, pk).write.parquet(f"{folder}/lengths")
-        return json.dumps(dict(zip(("documents", "tokens"), _counted(spark.read.parquet(f"{folder}/lengths")), strict=True)))
+        rows = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"))), _counts())
+        _runs(df, text, analyzer, pk).select(pk, "dl", F.inline(rows)).sortWithinPartitions("term").write.parquet(f"{folder}/segments")
+        stored = spark.read.parquet(f"{folder}/segments")
+        stored.where("term is not null").groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{folder}/vocabulary")
+        return json.dumps(dict(zip(("documents", "tokens"), _counted(stored.where("term is null")), strict=True)) | {"form": FORM})
 
     @classmethod
-    def read(cls, spark: SparkSession, folder: str, facts: str) -> TextIndex:
+    def read(cls, spark: SparkSession, folder: str, facts: str) -> TextIndex | None:
+        """A stored index; None if an earlier version wrote it."""
         known = json.loads(facts)
-        return cls(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/vocabulary"), spark.read.parquet(f"{folder}/lengths"), float(known["documents"]), float(known["tokens"]))
+        if known.get("form") != FORM:
+            return None
+        rows = spark.read.parquet(f"{folder}/segments")
+        return cls(rows.where("term is not null"), spark.read.parquet(f"{folder}/vocabulary"), rows.where("term is null").drop("term", "tf"), float(known["documents"]), float(known["tokens"]))
 
     def overlaid(self, added: DataFrame, gone: DataFrame, text: str, analyzer: Analyzer, pk: str) -> TextIndex:
         """The index after changes: without the documents whose keys are ``gone``, with those ``added``. Only
@@ -134,8 +160,8 @@ def _capped(score: Column) -> Column:
 class _Fold:
     """(matched, score) Columns of a query tree."""
 
-    def __init__(self, tf: dict[str, Column], part: dict[str, Column], found: dict[int, tuple[Column, Column]], tokens: Column) -> None:
-        self.tf, self.part, self.found, self.tokens, self.seen = tf, part, found, tokens, 0
+    def __init__(self, tf: dict[str, Column], part: dict[str, Column], found: list[tuple[Column, Column]], phrases: list[Column]) -> None:
+        self.tf, self.part, self.found, self.phrases = tf, part, iter(found), iter(phrases)
 
     def of(self, node: Node) -> tuple[Column, Column]:
         zero, no = F.lit(0.0), F.lit(False)
@@ -146,11 +172,10 @@ class _Fold:
         elif node.kind == "term":
             matched, score = self.tf[node.value] > 0, self.part[node.value]
         elif node.kind == "match":
-            matched, score = self.found[self.seen]
-            self.seen += 1
+            matched, score = next(self.found)
         elif node.kind == "phrase":
-            terms, slop = node.value
-            matched = phrase_in(self.tokens, terms, slop)
+            terms, _ = node.value
+            matched = next(self.phrases)
             score = sum((self.part[t] for t in terms[1:]), self.part[terms[0]])
         else:
             matched, score = self._group(node)
@@ -174,81 +199,130 @@ class _Fold:
         return matched, F.when(matched, score).otherwise(F.lit(0.0))
 
 
-def _terms_of(matcher: Matcher, vocab: DataFrame) -> DataFrame:
-    term = F.col("term")
+def _prefix(source: str) -> str:
+    """The literal start of a wildcard's regex source."""
+    return re.sub(r"\\(.)", r"\1", re.match(r"\(\?s\)\^((?:\w|\\.)*)", source)[1])
+
+
+def _maybe(matcher: Matcher, term: Column) -> Column:
+    """Whether a pattern stands for a term: exactly, but for fuzzy ones only what ``_terms_of`` need look at."""
     if matcher.kind == "wildcard":
-        return vocab.where(term.rlike(matcher.pattern))
+        return F.startswith(term, F.lit(_prefix(matcher.pattern))) & term.rlike(matcher.pattern)
     if matcher.kind == "range":
+        ends = []
         if matcher.lower:
-            vocab = vocab.where(term >= matcher.lower[0] if matcher.lower[1] else term > matcher.lower[0])
+            ends.append(term >= matcher.lower[0] if matcher.lower[1] else term > matcher.lower[0])
         if matcher.upper:
-            vocab = vocab.where(term <= matcher.upper[0] if matcher.upper[1] else term < matcher.upper[0])
-        return vocab
+            ends.append(term <= matcher.upper[0] if matcher.upper[1] else term < matcher.upper[0])
+        return reduce(lambda a, b: a & b, ends)
+    goal, most = matcher.pattern, matcher.distance
+    # A swap of neighbours takes two edits.
+    return (F.abs(F.length(term) - len(goal)) <= most) & (F.levenshtein(term, F.lit(goal), 2 * most) >= 0)
+
+
+def _terms_of(matcher: Matcher, vocab: DataFrame) -> DataFrame:
+    found = vocab.where(_maybe(matcher, F.col("term")))
+    if matcher.kind != "fuzzy":
+        return found
     goal, most = matcher.pattern, matcher.distance
 
     def near(terms: pd.Series) -> pd.Series:
         return terms.map(lambda t: osa_within(goal, t, most))
 
     near.__annotations__ = {"terms": pd.Series, "return": pd.Series}
-    return vocab.where(F.abs(F.length(term) - len(goal)) <= most).where(F.pandas_udf(near, "boolean")(term))
+    return found.where(F.pandas_udf(near, "boolean")(F.col("term")))
 
 
 def search(corpus: DataFrame, rows: DataFrame, text: str, query: Node, analyzer: Analyzer, pk: str, index: TextIndex | None = None) -> DataFrame:
-    """``rows`` that match, with ``_score``. Statistics are those of ``corpus`` (whatever the filter that
+    """Key and ``_score`` of the ``rows`` that match. Statistics are those of ``corpus`` (whatever the filter that
     gave ``rows``), over documents that have the text. Rows with a score of 0 or less are dropped. ``index``
-    must be one of ``corpus``."""
+    must be one of ``corpus``. Keys must be distinct."""
     terms, matchers = sorted(_terms(query)), _matchers(query)
     if index is not None and not _needs_all(query):
-        return _searched(index, rows, text, query, analyzer, pk, terms, matchers)
-    # One element exploded: Spark then keeps the tokens instead of analyzing again at each use.
-    own = F.explode(F.array(analyzer.column(F.col(text))))
-    held = corpus.where(F.col(text).isNotNull()).select(own.alias("_t"))
+        return _searched(index, rows if rows is not corpus else None, corpus, text, query, analyzer, pk, terms, matchers)
+    held = _analyzed(corpus, text, analyzer, pk)
     facts = held.agg(F.count("*"), F.coalesce(F.sum(F.size("_t")), F.lit(0)), *(F.coalesce(F.sum(F.array_contains("_t", t).cast("long")), F.lit(0)) for t in terms)).first()
     n, avgdl = float(facts[0]), float(facts[1]) / facts[0] if facts[0] else 0.0
-    scored = rows.where(F.col(text).isNotNull()).withColumn("_t", own)
     equal = lambda t: lambda x: x == t
-    scored = scored.withColumns({f"_tf{i}": F.size(F.filter("_t", equal(t))).cast("double") for i, t in enumerate(terms)})
-    for i, matcher in enumerate(matchers):
-        # The pattern's terms with their frequencies, then its score in each row that has one of them.
-        hits = _terms_of(matcher, vocabulary(corpus, text, analyzer))
-        each = scored.select(pk, F.size("_t").cast("double").alias("dl"), F.explode("_t").alias("term")).groupBy(pk, "dl", "term").agg(F.count("*").cast("double").alias("tf"))
-        scored = scored.join(_pattern_scores(each, hits, n, avgdl, pk, f"_m{i}"), pk, "left")
-    return _folded(scored, F.size("_t").cast("double"), query, terms, [float(x) for x in facts[2:]], n, avgdl, ["_t"])
+    tf = [F.size(F.filter("_t", equal(t))).cast("double").alias(f"_tf{i}") for i, t in enumerate(terms)]
+    phrases = [phrase_in(F.col("_t"), *p.value).alias(f"_p{i}") for i, p in enumerate(_phrases(query))]
+    own = [pk, F.size("_t").cast("double").alias("_dl"), *tf, *phrases]
+    tokens = _analyzed(rows, text, analyzer, pk)
+    if not matchers:
+        return _folded(tokens.select(*own), query, terms, [float(x) for x in facts[2:]], n, avgdl, pk)
+    # A row's tokens that the patterns may stand for, before anything is shuffled; a row without a pattern stands for all others.
+    hits = F.concat(*(F.transform(F.filter("_t", partial(_maybe, m)), partial(_marked, i)) for i, m in enumerate(matchers)))
+    dfs = held.select(F.explode(F.array_distinct(hits)).alias("_h")).select("_h.*").groupBy("_m", "term").agg(F.count("*").alias("df"))
+    dfs = reduce(DataFrame.unionByName, (_terms_of(m, dfs.where(F.col("_m") == i)) for i, m in enumerate(matchers))) if any(m.kind == "fuzzy" for m in matchers) else dfs
+    none = F.array(F.struct(F.lit(-1).alias("_m"), F.lit(None).cast("string").alias("term")))
+    rest = [f"_tf{i}" for i in range(len(tf))] + [f"_p{i}" for i in range(len(phrases))]
+    each = tokens.select(*own, F.explode(F.concat(none, hits)).alias("_h")).select(pk, "_dl", *rest, "_h.*")
+    each = each.groupBy(pk, "_m", "term").agg(F.count("*").cast("double").alias("tf"), *(F.first(c).alias(c) for c in ("_dl", *rest)))
+    scored = each.join(dfs, ["_m", "term"], "left").groupBy(pk).agg(*(F.first(c).alias(c) for c in ("_dl", *rest)), *_pattern_sums(len(matchers), F.col("_dl"), n, avgdl))
+    return _folded(scored, query, terms, [float(x) for x in facts[2:]], n, avgdl, pk)
+
+
+def _analyzed(df: DataFrame, text: str, analyzer: Analyzer, pk: str) -> DataFrame:
+    return df.where(F.col(text).isNotNull()).select(pk, _kept(analyzer.column(F.col(text))).alias("_t"))
+
+
+def _marked(i: int, term: Column) -> Column:
+    return F.struct(F.lit(i).alias("_m"), term.alias("term"))
+
+
+def _pattern_sums(n_matchers: int, dl: Column, n: float, avgdl: float) -> list[Column]:
+    """_m<i>: a document's score for each pattern, from rows (_m, tf, df); null where it has none of its terms."""
+    weight = _weight(F.col("tf"), dl, idf(n, F.col("df").cast("double")), avgdl)
+    return [F.sum(F.when(F.col("_m") == i, weight)).alias(f"_m{i}") for i in range(n_matchers)]
+
+
+#: A term list of so many entries at most is asked for by value; keys of so many documents at most are sent to all tasks.
+_FEW_TERMS, _FEW_KEYS = 1000, 100_000
 
 
-def _searched(index: TextIndex, rows: DataFrame, text: str, query: Node, analyzer: Analyzer, pk: str, terms: list[str], matchers: list[Matcher]) -> DataFrame:
-    """The same from postings: every document that has one of the terms, its frequencies, and its text."""
+def _searched(index: TextIndex, rows: DataFrame | None, corpus: DataFrame, text: str, query: Node, analyzer: Analyzer, pk: str, terms: list[str], matchers: list[Matcher]) -> DataFrame:
+    """The same from postings: every document that has one of the terms, and its frequencies. ``rows`` is None for
+    the whole corpus. Texts are read for phrases alone."""
     known = {r["term"]: float(r["df"]) for r in index.vocabulary.where(F.col("term").isin(terms)).collect()} if terms else {}
     n, avgdl = index.documents, index.tokens / index.documents if index.documents else 0.0
-    tf = {f"_tf{i}": F.max(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).cast("double") for i, t in enumerate(terms)}
-    found = index.postings.where(F.col("term").isin(terms)).groupBy(pk).agg(F.first("dl").cast("double").alias("_dl"), *(c.alias(k) for k, c in tf.items()))
+    parts = [index.postings.where(F.col("term").isin(terms)).select(pk, "dl", "term", "tf", F.lit(-1).alias("_m"), F.lit(None).cast("long").alias("df"))] if terms else []
     for i, matcher in enumerate(matchers):
-        each = index.postings.select(pk, F.col("dl").cast("double").alias("dl"), "term", F.col("tf").cast("double").alias("tf"))
-        own = _pattern_scores(each, _terms_of(matcher, index.vocabulary), n, avgdl, pk, f"_m{i}")
-        found = found.join(own, pk, "outer")
-    found = found.fillna(0.0, list(tf))
-    scored = rows.where(F.col(text).isNotNull()).join(found, pk)
-    phrases = any(x.kind == "phrase" for x in _nodes(query))
-    # One element exploded: Spark then keeps the tokens instead of analyzing again at each use.
-    scored = scored.withColumn("_t", F.explode(F.array(analyzer.column(F.col(text)))) if phrases else F.lit(None).cast("array<string>"))
-    return _folded(scored, F.coalesce("_dl", F.lit(0.0)), query, terms, [known.get(t, 0.0) for t in terms], n, avgdl, ["_t", "_dl"])
+        # Only postings that may be the pattern's meet its terms.
+        hits = _terms_of(matcher, index.vocabulary)
+        few = [r["term"] for r in hits.select("term").limit(_FEW_TERMS + 1).collect()]
+        near = F.col("term").isin(few) if len(few) <= _FEW_TERMS else _maybe(matcher, F.col("term"))
+        parts.append(index.postings.where(near).join(hits, "term").select(pk, "dl", "term", "tf", F.lit(i).alias("_m"), "df"))
+    tf = [F.max(F.when((F.col("_m") == -1) & (F.col("term") == t), F.col("tf")).otherwise(0)).cast("double").alias(f"_tf{i}") for i, t in enumerate(terms)]
+    each = reduce(DataFrame.unionByName, parts)
+    found = each.groupBy(pk).agg(F.first("dl").cast("double").alias("_dl"), *tf, *_pattern_sums(len(matchers), F.col("dl").cast("double"), n, avgdl))
+    if rows is not None:
+        found = found.join(rows.where(F.col(text).isNotNull()).select(pk), pk, "left_semi")
+    if phrases := _phrases(query):
+        flags = [f"_p{i}" for i in range(len(phrases))]
+        own = [reduce(lambda a, b: a & b, (F.col(f"_tf{terms.index(t)}") > 0 for t in p.value[0])) for p in phrases]
+        texts = rows if rows is not None else corpus
+        # At most as many documents as have the rarest term of each phrase. If those are many, all texts are looked at where
+        # they lie, which takes no shuffle of texts.
+        if sum(min(known.get(t, 0.0) for t in p.value[0]) for p in phrases) <= _FEW_KEYS:
+            texts = texts.join(F.broadcast(found.where(reduce(lambda a, b: a | b, own)).select(pk)), pk, "left_semi")
+        held = _analyzed(texts, text, analyzer, pk).select(pk, *(phrase_in(F.col("_t"), *p.value).alias(c) for c, p in zip(flags, phrases, strict=True)))
+        found = found.join(held.where(reduce(lambda a, b: a | b, map(F.col, flags))), pk, "left").fillna(False, flags)
+    return _folded(found, query, terms, [known.get(t, 0.0) for t in terms], n, avgdl, pk)
 
 
 def _nodes(node: Node) -> list[Node]:
     return [node, *(x for p in node.parts for x in _nodes(p))]
 
 
-def _pattern_scores(each: DataFrame, hits: DataFrame, n: float, avgdl: float, pk: str, name: str) -> DataFrame:
-    """Key and score of the documents that have a pattern's terms, from (key, dl, term, tf)."""
-    weight = _weight(F.col("tf"), F.col("dl"), idf(n, F.col("df").cast("double")), avgdl)
-    return each.join(hits, "term").groupBy(pk).agg(F.sum(weight).alias(name))
+def _phrases(node: Node) -> list[Node]:
+    return [x for x in _nodes(node) if x.kind == "phrase"]
 
 
-def _folded(scored: DataFrame, dl: Column, query: Node, terms: list[str], dfs: list[float], n: float, avgdl: float, drop: list[str]) -> DataFrame:
-    """Rows with term frequencies (_tf<i>) and pattern scores (_m<i>) to those that match, with ``_score``."""
+def _folded(scored: DataFrame, query: Node, terms: list[str], dfs: list[float], n: float, avgdl: float, pk: str) -> DataFrame:
+    """Rows with lengths (_dl), term frequencies (_tf<i>), pattern scores (_m<i>) and phrases (_p<i>) to the keys of
+    those that match, with ``_score``."""
     tf = {t: F.col(f"_tf{i}") for i, t in enumerate(terms)}
-    part = {t: _weight(tf[t], dl, F.lit(math.log((n - d + 0.5) / (d + 0.5) + 1.0)), avgdl) for t, d in zip(terms, dfs, strict=True)}
-    names = [f"_m{i}" for i in range(len(_matchers(query)))]
-    found = {i: (F.col(m).isNotNull(), F.coalesce(m, F.lit(0.0))) for i, m in enumerate(names)}
-    matched, score = _Fold(tf, part, found, F.col("_t")).of(query)
-    return scored.withColumn("_score", score).where(matched & (F.col("_score") > 0)).drop(*drop, *(f"_tf{i}" for i in range(len(terms))), *names)
+    part = {t: _weight(tf[t], F.col("_dl"), F.lit(math.log((n - d + 0.5) / (d + 0.5) + 1.0)), avgdl) for t, d in zip(terms, dfs, strict=True)}
+    found = [(F.col(m).isNotNull(), F.coalesce(m, F.lit(0.0))) for m in (f"_m{i}" for i in range(len(_matchers(query))))]
+    matched, score = _Fold(tf, part, found, [F.col(f"_p{i}") for i in range(len(_phrases(query)))]).of(query)
+    return scored.withColumn("_score", score).where(matched & (F.col("_score") > 0)).select(pk, "_score")
