@@ -1,7 +1,7 @@
 """Text analysis: tokenizers and token filters, for queries on the driver and for columns.
 
-The common analyzers (standard or white space, lower case) run as JVM expressions; n-grams of classed
-characters, folding and stemming run in Arrow batches.
+The common analyzers (standard, white space or n-grams, lower case) run as JVM expressions; n-grams of
+classed characters, folding and stemming run in Arrow batches of few rows.
 """
 
 from __future__ import annotations
@@ -10,15 +10,17 @@ import unicodedata
 from collections.abc import Sequence
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.errors import invalid, unsupported
 from cairn.functions import stemming
 
 MAX_TOKEN_LENGTH, MAX_NGRAM_RANGE = 1 << 20, 1
+#: Rows per Arrow batch, as a text can hold megabytes, and texts whose tokens are made at once.
+ARROW_ROWS, PIECE = 128, 16
 # Characters that folding spells out, stemmer languages, and n-gram character classes.
 FOLDED = {
     "Æ": "AE", "æ": "ae", "Ð": "D", "Đ": "D", "ð": "d", "đ": "d", "Ø": "O", "ø": "o", "Þ": "TH", "þ": "th", "ß": "ss", "ẞ": "SS", "Ħ": "H", "ħ": "h", "ı": "i",
@@ -61,7 +63,7 @@ class Analyzer:
                 raise invalid("lengths must be positive integers")
         if self.longest > MAX_TOKEN_LENGTH or self.least > self.most or self.most - self.least > MAX_NGRAM_RANGE:
             raise invalid("lengths out of range")
-        classes = extra.get("token_chars", [])
+        self.classes = classes = extra.get("token_chars", [])
         if bad := set(classes) - set(CLASSES):
             raise invalid(f"unknown character classes {sorted(bad)}")
         self._runs = regex.compile("[" + "".join(CLASSES[c] for c in classes) + "]+" if classes else r"(?s).+")
@@ -90,12 +92,28 @@ class Analyzer:
             token = rf"[\p{{IsAlphabetic}}\p{{N}}]{{1,{self.longest}}}" if self.tokenizer == "standard" else r"[^\p{IsWhite_Space}]+"
             parts = F.regexp_extract_all(text, F.lit(token), F.lit(0))
             return F.transform(parts, F.lower) if self.filters else parts
-        return F.pandas_udf(_tokens_of(self), "array<string>")(text)
+        if self.tokenizer == "ngram" and not self.classes and set(self.filters) <= {"lowercase"}:
+            # The characters are bound to a lambda's variable, so they are split once.
+            grams = F.get(F.transform(F.array(F.split(text, "")), self._grams), F.lit(0))
+            return F.transform(grams, F.lower) if self.filters else grams
+        SparkSession.active().conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        return F.arrow_udf(_tokens_of(self), "array<string>")(text)
+
+    def _grams(self, chars: Column) -> Column:
+        """The n-grams of a text's characters, by place and then size."""
+
+        def at(first: Column, i: Column) -> Column:
+            # A null character is one behind the end, and so is its n-gram.
+            return F.array(*(F.concat(first, *(F.get(chars, i + k) for k in range(1, n))) if n <= 8 else F.when(i + n <= F.size(chars), F.array_join(F.slice(chars, i + 1, n), "")) for n in range(self.least, self.most + 1)))
+
+        return F.filter(F.flatten(F.transform(F.array_remove(chars, ""), at)), lambda g: g.isNotNull())
 
 
 def _tokens_of(analyzer: Analyzer):
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else analyzer.tokens(t))
+    def run(texts: pa.Array) -> pa.Array:
+        # Of a few texts at a time are there tokens as objects of Python.
+        made = [pa.array([None if t is None else analyzer.tokens(t) for t in texts.slice(i, PIECE).to_pylist()], pa.list_(pa.string())) for i in range(0, len(texts), PIECE)]
+        return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.string()))
 
-    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return run

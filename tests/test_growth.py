@@ -2,12 +2,14 @@
 
 import random
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.collection import Collection
-from cairn.functions.analysis import Analyzer
+from cairn.functions.analysis import Analyzer, _tokens_of
 from cairn.operators import fts, vector
 from cairn.plans import query_string
 from cairn.plans.queries import query_string as asked
@@ -51,3 +53,27 @@ def test_pattern_scans_shuffle_only_what_matches(spark, texts, text, wanted):
     found, size = shuffled(spark, lambda: vector.top(fts.search(texts, texts, "body", tree, Analyzer(), PK), 500).collect())
     assert {r[PK] for r in found} == {f"k{i}" for i in range(400) if wanted(i)}
     assert size < 60_000, size  # the texts have 700 KB
+
+
+def test_plain_ngrams_need_no_python(spark):
+    odd = ["", "a", "abcd", "\U0001f600x\U0001f601yz", "line\nbreak\r\n", None]
+    df = spark.createDataFrame(list(enumerate(odd)), "i int, text string")
+    for least, most, filters in ((2, 3, ()), (1, 1, ("lowercase",)), (9, 10, ())):
+        ngrams = Analyzer("ngram", filters, {"ngram_min": least, "ngram_max": most})
+        made = df.orderBy("i").select(ngrams.column(F.col("text")).alias("t"))
+        assert [r.t for r in made.collect()] == [None if t is None else ngrams.tokens(t) for t in odd]
+        assert "Python" not in made._jdf.queryExecution().toString()
+
+
+def test_python_tokens_are_made_of_few_texts_at_once(spark):
+    folded, stemmed = (Analyzer("standard", ("lowercase", "ascii_folding", *more)) for more in ((), ("stemmer",)))
+    texts = pa.array([None, ""] + [" ".join(f"running{i}x{k}" for k in range(300)) for i in range(600)])
+    run, wanted = _tokens_of(folded), [None if t is None else folded.tokens(t) for t in texts.to_pylist()]
+    tracemalloc.start()
+    made = run(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.to_pylist() == wanted
+    assert peak < 6_000_000, peak  # 180,000 tokens have 60 bytes each as objects
+    made = spark.createDataFrame([("Élan running",)], "text string").select(stemmed.column(F.col("text")))
+    assert made.first()[0] == ["elan", "run"] and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 128
