@@ -9,6 +9,8 @@ import numpy as np
 from cairn.functions.quantize import metric_scores
 
 _MIX = 0x9E3779B97F4A7C15
+#: Nodes whose distances to all others are held at once.
+BLOCK = 256
 
 
 def level_of(i: int, m: int) -> int:
@@ -59,11 +61,11 @@ class Graph:
             links: dict[int, list[int]] = {int(i): [] for i in nodes}
             sub = space[nodes]
             squares = (sub * sub).sum(1)
-            for a in range(0, len(nodes), 1024):
-                far = squares - 2 * sub[a : a + 1024] @ sub.T
+            for a in range(0, len(nodes), BLOCK):
+                far = squares - 2 * sub[a : a + BLOCK] @ sub.T
                 k = min(beam + 1, len(nodes))
                 near = np.argpartition(far, k - 1, axis=1)[:, :k]
-                for i, row in zip(nodes[a : a + 1024], near, strict=True):
+                for i, row in zip(nodes[a : a + BLOCK], near, strict=True):
                     links[int(i)] = pruned(space, int(i), nodes[row], max(1, most - 1), alpha)
             for n, i in enumerate(nodes):  # a ring keeps the layer connected
                 after = int(nodes[(n + 1) % len(nodes)])

@@ -160,19 +160,20 @@ def _estimated(model: dict[str, Any], query: np.ndarray, metric: str):
 
 
 def _search_shards(query: np.ndarray, metric: str, ef: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for keys, blob, good in zip(pdf["keys"], pdf["graph"], pdf["allowed"], strict=True):
-                layers, entry, shown = pickle.loads(blob)
-                allowed = None if good is None else np.isin(np.array(keys, object), np.array(list(good), object))
-                if isinstance(shown, tuple):
-                    coder, codes = shown[0], shown[1].astype(np.float64) if len(shown) > 2 else shown[1]
-                    s = coder.scores(codes, shown[2], shown[3], query, metric) if len(shown) > 2 else coder.scores(codes, query, metric)
-                    # Navigation by estimates: the graph is walked over one-dimensional score vectors.
-                    found = Graph(layers, entry).search(s[:, None], np.ones(1), "ip", ef, allowed)
-                else:
-                    found = Graph(layers, entry).search(shown, query, metric, ef, allowed)
-                yield pd.DataFrame({PK: [keys[i] for _, i in found], "score": [float(v) for v, _ in found]})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = [pd.DataFrame({PK: [], "score": []})]
+        for keys, blob, good in zip(pdf["keys"], pdf["graph"], pdf["allowed"], strict=True):
+            layers, entry, shown = pickle.loads(blob)
+            allowed = None if good is None else np.isin(np.array(keys, object), np.array(list(good), object))
+            if isinstance(shown, tuple):
+                coder, codes = shown[0], shown[1].astype(np.float64) if len(shown) > 2 else shown[1]
+                s = coder.scores(codes, shown[2], shown[3], query, metric) if len(shown) > 2 else coder.scores(codes, query, metric)
+                # Navigation by estimates: the graph is walked over one-dimensional score vectors.
+                found = Graph(layers, entry).search(s[:, None], np.ones(1), "ip", ef, allowed)
+            else:
+                found = Graph(layers, entry).search(shown, query, metric, ef, allowed)
+            made.append(pd.DataFrame({PK: [keys[i] for _, i in found], "score": [float(v) for v, _ in found]}))
+        return pd.concat(made[1:] or made)
 
     return run
 
@@ -206,5 +207,6 @@ def candidates(saved: SavedIndex, index: IndexParams, query, metric: str, k: int
         n = shards.count()
         mine = allowed.withColumn("shard", F.pmod(F.xxhash64(PK), F.lit(n)).cast("int")).groupBy("shard").agg(F.collect_list(PK).alias("allowed"))
         asked = shards.join(mine, "shard")  # at most SHARD_ROWS or so keys in a shard
-    found = asked.select("keys", "graph", "allowed").mapInPandas(_search_shards(q, metric, ef), f"{PK} string, score double")
+    # A group is a shard, so a worker holds one at a time; a batch of rows would be as many graphs as a partition has.
+    found = asked.select("shard", "keys", "graph", "allowed").groupBy("shard").applyInPandas(_search_shards(q, metric, ef), f"{PK} string, score double")
     return found.orderBy(F.col("score").desc(), PK).limit(ef).select(PK)

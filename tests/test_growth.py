@@ -4,16 +4,16 @@ import random
 import time
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.collection import Collection
 from cairn.functions.analysis import Analyzer, _tokens_of
-from cairn.operators import fts, vector
+from cairn.operators import ann, fts, vector
 from cairn.plans import query_string
-from cairn.plans.queries import query_string as asked
-from cairn.schema import PK, CollectionSchema, FieldSchema, IndexParams
+from cairn.schema import PK, IndexParams
+from cairn.sources.revisions import Store
 
 WORDS = [f"{a}{b}{c}" for a in "bcdfgklm" for b in ("al", "er", "ion", "ux") for c in "nprstvz"]
 
@@ -77,3 +77,26 @@ def test_python_tokens_are_made_of_few_texts_at_once(spark):
     assert peak < 6_000_000, peak  # 180,000 tokens have 60 bytes each as objects
     made = spark.createDataFrame([("Élan running",)], "text string").select(stemmed.column(F.col("text")))
     assert made.first()[0] == ["elan", "run"] and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 128
+
+
+def test_graphs_are_searched_a_shard_at_a_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 25)
+    x = np.random.default_rng(2).normal(size=(120, 8)).astype(np.float32)
+    rows = spark.createDataFrame([(f"k{i:03}", [float(c) for c in v]) for i, v in enumerate(x)], f"{PK} string, v array<float>")
+    index, store = IndexParams("vamana", {"metric": "l2"}), Store(spark, str(tmp_path / "g"))
+    ann.build(store, "index", rows, index)
+    near = ann.candidates(ann.load(store, "index"), index, x[7], "l2", 10, {"list_size": 1000}, None)
+    assert {r[PK] for r in near.collect()} == {f"k{i:03}" for i in range(120)}
+    plan = near._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" in plan and "MapInPandas [" not in plan  # else a batch is all shards of a partition
+
+
+def test_an_index_is_built_without_a_shuffle_of_postings(spark, texts, tmp_path):
+    folder = str(tmp_path / "i")
+    facts, size = shuffled(spark, lambda: fts.TextIndex.build(texts, "body", Analyzer(), PK, folder))
+    index = fts.TextIndex.read(spark, folder, facts)
+    n = index.postings.count()
+    assert index.documents == 400 and index.lengths.count() == 400 and n > 90_000
+    assert index.vocabulary.agg(F.sum("df")).first()[0] == n
+    assert size < n, size  # terms and their counts alone; postings take more than ten bytes each
+    assert fts.TextIndex.read(spark, folder, '{"documents": 1, "tokens": 1}') is None
